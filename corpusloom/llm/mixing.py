@@ -130,30 +130,14 @@ def thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-    weights: tuple[int, ...] = (1, 2, 3),
-    passes: int = MAX_PASSES,
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """How often each document is taken so that sources meet their share of the sum of all sizes.
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(doc_id, source, size, hash) in the shared folder: the texts are read once."""
+    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("hash")]
+    return materialize(docs.select(*columns), "op10-sized")
 
-    One row per input row: doc_id, size (words), source_size, target (the source's), taken (words,
-    repeats counted), then the columns named in ``keep``.  A source is taken in whole passes and then a
-    part of a pass, chosen by hash, that ends within half a document of the target.  A null text has size 0;
-    documents of null source form a source of their own, ranked last.  Rows that repeat an id share its hash and
-    are taken alike.  Sources without words, and empty tables, have target 0.  Other columns are not read.
-    """
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-        document_hash(F.col(id_col)).alias("hash"),
-    )
-    sized = materialize(sized, "op10-sized")
+
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...], passes: int) -> tuple[DataFrame, int]:
+    """One row a source: mix_source, source_size, target, whole passes and the threshold of the part; and their number."""
     shares = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes), "op10-targets")
     n_sources = shares.count()
     full = F.when(F.col("source_size") > 0, F.least(F.lit(passes), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
@@ -161,12 +145,49 @@ def mix_sources(
     plan = plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     part = thresholds(sized, plan.where((F.col("rest") > 0) & (F.col("full") < passes)), n_sources)
     plan = plan.join(part.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = materialize(plan.select(F.col("source").alias("s"), "source_size", "target", "full", "shift", "prefix", "whole"), "op10-plan")
-    place = F.expr("shiftright(hash, coalesce(shift, 0))")
+    plan = plan.select(F.col("source").alias("mix_source"), "source_size", "target", "full", "shift", "prefix", "whole")
+    return materialize(plan, "op10-plan"), n_sources
+
+
+def _copies(doc_hash: Column) -> Column:
+    """How often a document of the joined plan row is taken."""
+    place = F.when(F.col("shift") == LEVELS * BITS, F.lit(0).cast("long"))
+    for k in range(LEVELS):
+        place = place.when(F.col("shift") == k * BITS, F.shiftright(doc_hash, k * BITS))
     extra = F.coalesce((place < F.col("prefix")) | (F.col("whole") & (place == F.col("prefix"))), F.lit(False))
-    return sized.join(_small(plan, n_sources), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + extra.cast("long"))).alias("taken")
-    )
+    return F.col("full") + extra.cast("long")
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), passes: int = MAX_PASSES
+) -> DataFrame:
+    """How often each document is taken so that sources meet their share of the sum of all sizes.
+
+    One row per input row: doc_id, size (words), source_size, target (the source's), taken (words, repeats counted),
+    copies.  A source is taken in whole passes and then a part of a pass, chosen by hash, that ends within half a
+    document of the target.  A null text has size 0; documents of null source form a source of their own, ranked
+    last.  Rows that repeat an id share its hash and are taken alike.  Sources without words, and empty tables,
+    have target 0.  Other columns are not read.
+    """
+    sized = _sized(docs, id_col, source_col, text_col)
+    plan, n_sources = mixing_plan(sized, weights, passes)
+    joined = sized.join(_small(plan, n_sources), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies(F.col("hash")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), passes: int = MAX_PASSES
+) -> DataFrame:
+    """The mix itself: each document with all its columns, as often as ``mix_sources`` takes it.
+
+    The plan is one small row a source, so the texts aren't shuffled.
+    """
+    plan, n_sources = mixing_plan(_sized(docs, id_col, source_col, text_col), weights, passes)
+    # Input columns pass through a struct of their own, so that none can clash with the plan's.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("own_source"), document_hash(F.col(id_col)).alias("own_hash"))
+    joined = rows.join(_small(plan, n_sources), F.col("own_source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies(F.col("own_hash")))
+    repeated = joined.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("row.*")
 
 
 ORACLE = r"""
@@ -197,8 +218,8 @@ r AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto,
          sum(d.size) OVER (PARTITION BY d.source, d.h) AS at_hash
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       (size * (f + CASE WHEN f >= 3 OR rest <= 0 THEN 0 WHEN upto <= rest THEN 1
-                         WHEN upto - at_hash <= rest AND rest - (upto - at_hash) > at_hash / 2 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r
+SELECT doc_id, size, source_size, target, (size * c)::BIGINT AS taken, c AS copies
+FROM (SELECT *, (f + CASE WHEN f >= 3 OR rest <= 0 THEN 0 WHEN upto <= rest THEN 1
+                          WHEN upto - at_hash <= rest AND rest - (upto - at_hash) > at_hash / 2 THEN 1 ELSE 0 END)::BIGINT AS c
+      FROM r)
 """

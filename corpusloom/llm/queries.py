@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ann, exact_dedup, html_extract, langid, mixing, near_dedup, token_files, warc
+from corpusloom.llm import ann, exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, pieces, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,20 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.encode_documents(docs, _vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_pieces", "ids_crc32", "round_trip", "n_differing")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -60,13 +70,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_nearest": op5_nearest,
+    "op6_line_dedup": op6_line_dedup,
     "op7_main_text": op7_main_text,
+    "op8_pieces": op8_pieces,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": warc.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
