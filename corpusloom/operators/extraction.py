@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from corpusloom.functions.matching import EntityMatcher, Lexicon, RelationMatcher, Tagger, is_modal, is_negated, sentences, slugified
 from corpusloom.functions.measures import confidence
 from corpusloom.operators.edges import abstract_events, sentence_events
 
-MATCHES = (
-    "doc long, kind string, sentence int, item string, label string, type string, start int, end int, matched string, alias string, "
-    "target string, target_type string, relation string, cue string, cue_distance int, cue_between boolean, negated boolean, modal boolean"
+_TEXT, _NUMBER, _FLAG = pa.string(), pa.int32(), pa.bool_()
+MATCH = pa.schema(
+    [("doc", pa.int64()), ("kind", _TEXT), ("sentence", _NUMBER)]
+    + [(c, _TEXT) for c in ("item", "label", "type")]
+    + [("start", _NUMBER), ("end", _NUMBER)]
+    + [(c, _TEXT) for c in ("matched", "alias", "target", "target_type", "relation", "cue")]
+    + [("cue_distance", _NUMBER), ("cue_between", _FLAG), ("negated", _FLAG), ("modal", _FLAG)]
 )
-_COLUMNS = [part.split()[0] for part in MATCHES.split(", ")]
 
 
 class SentenceReader:
@@ -76,16 +80,15 @@ def matches(texts: DataFrame, lexicon: Lexicon, reach: int = 180) -> DataFrame:
     Null texts have none.  Patterns are compiled once a task.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = SentenceReader(lexicon, reach)
-        for frame in frames:
-            rows = [r for doc, text in zip(frame["doc"], frame["text"]) for n, (_, _, s) in enumerate(sentences(text)) for r in reader.rows(doc, n, s)]
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            for c in ("start", "end", "cue_distance"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    return texts.select(F.col("doc").cast("long"), "text").where(F.col("text").isNotNull()).mapInPandas(run, MATCHES)
+        for batch in batches:
+            texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = [r for doc, text in texts for n, (_, _, s) in enumerate(sentences(text)) for r in reader.rows(doc, n, s)]
+            yield pa.RecordBatch.from_pylist(rows, MATCH)
+
+    rows = texts.select(F.col("doc").cast("long"), "text").where(F.col("text").isNotNull())
+    return rows.mapInArrow(run, from_arrow_schema(MATCH))
 
 
 def extract(texts: DataFrame, lexicon: Lexicon, reach: int = 180) -> dict[str, DataFrame]:
