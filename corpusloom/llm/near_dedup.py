@@ -37,7 +37,7 @@ BROADCAST_IDS = 2_000_000  # 16 bytes each
 SLACK = 4.5  # standard deviations of a signature estimate that a true link may fall short
 
 
-def _text_blocks(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _text_blocks(texts: list[str | None], chars: int = 500_000) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -131,8 +131,8 @@ def _in_block_pairs(rows: DataFrame, group: str, node: str) -> DataFrame:
 
 def _estimated(bytes_: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     keep = np.zeros(len(a), bool)
-    for at in range(0, len(a), 100_000):
-        part = slice(at, at + 100_000)
+    for at in range(0, len(a), 20_000):
+        part = slice(at, at + 20_000)
         keep[part] = (bytes_[a[part]] == bytes_[b[part]]).sum(axis=1) >= least
     return keep
 
@@ -219,7 +219,7 @@ def exact_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     column = np.repeat(np.cumsum(length > 1) - 1, length)[shared]
     row = owner[shared]
     both = np.zeros((n, n), np.float32)
-    width = max(1, 8_000_000 // max(n, 1))
+    width = max(1, 2_000_000 // max(n, 1))
     total = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, total, width):
         lo, hi = np.searchsorted(column, [at, at + width])
