@@ -675,3 +675,64 @@ def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     distance = 1 - dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))
     return rows.join(after, "vec_id").select(F.col("vec_id").alias("source"), "target", F.round(distance, 6).alias("distance"))
+
+
+# --- inputs and data behind figures ---
+
+
+@query("abstract_gates", r"""SELECT doc_id, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, len(regexp_extract_all(text, '\d+')) AS n_numbers FROM documents
+WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) BETWEEN 12 AND 1200""")
+def abstract_gates(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    rows = table(spark, d, "documents").select("doc_id", "lang", n("[^\\x20\\x09-\\x0D]+").alias("n_words"), n("[0-9]+").alias("n_numbers"))
+    return rows.where(F.col("n_words").between(12, 1200))
+
+
+@query("keyness_input", f"""WITH {PAPERS}, {CLASSES}, f AS (SELECT key, lower(trim(min_by(cls, pos))) AS field FROM classes GROUP BY key)
+SELECT p.year, f.field, count(*) AS n FROM papers p LEFT JOIN f ON f.key = p.key WHERE p.year BETWEEN 1996 AND 2001 AND f.field IN ('a', 'r') GROUP BY ALL""")
+def keyness_input(spark: SparkSession, d: str) -> DataFrame:
+    primary = classify.per_paper(classes(spark, d)).select("key", F.lower(F.trim("primary")).alias("primary"))
+    rows = papers(spark, d).select("key", "year").where(F.col("year").between(1996, 2001)).join(primary, "key", "left")
+    return rows.where(F.col("primary").isin("a", "r")).groupBy("year", F.col("primary").alias("field")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("yearly_volume", f"""WITH {PAPERS} SELECT year, count(*) AS n_papers, count(doctype) AS n_typed, count(DISTINCT field) AS n_fields FROM papers WHERE year >= 1996 GROUP BY year""")
+def yearly_volume(spark: SparkSession, d: str) -> DataFrame:
+    rows = papers(spark, d).where("year >= 1996")
+    return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n_papers"), F.count("doctype").alias("n_typed"), F.count_distinct("field").alias("n_fields"))
+
+
+@query("recent_field_share", f"""WITH {PAPERS}, n AS (SELECT year, CASE field WHEN 'AUTOMOBILE' THEN 'Cars' WHEN 'BUILDING' THEN 'Houses' ELSE 'Other' END AS label, count(*) AS n FROM papers WHERE year BETWEEN 1998 AND 2001 GROUP BY ALL)
+SELECT year, label, n, round(n / sum(n) OVER (PARTITION BY year), 9) AS share, round(100 * n / sum(n) OVER (PARTITION BY year), 1) AS percent FROM n""")
+def recent_field_share(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("field") == "AUTOMOBILE", "Cars").when(F.col("field") == "BUILDING", "Houses").otherwise("Other")
+    n = papers(spark, d).where(F.col("year").between(1998, 2001)).groupBy("year", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    shares = divergence.share_of(n, ["year"], "n")
+    return rounded(shares.withColumn("percent", F.round(100 * F.col("share"), 1)), "share")
+
+
+@query("distances_long", f"""WITH {SHARES}, y AS (SELECT year, round({JSD}, 9) AS jsd, round(sum(abs(p - q)) / 2, 9) AS tv, sum(a) AS total_a, sum(b) AS total_b FROM shares GROUP BY year)
+SELECT year, measure, value FROM (UNPIVOT y ON jsd, tv, total_a, total_b INTO NAME measure VALUE value)""")
+def distances_long(spark: SparkSession, d: str) -> DataFrame:
+    yearly = divergence.distances(divergence.field_shares(mentions(spark, d), FIELDS, ["year"]), ["year"])
+    return rounded(yearly.unpivot("year", ["jsd", "tv", "total_a", "total_b"], "measure", "value"), "value")
+
+
+@query("family_counts", f"""WITH {MENTIONS} SELECT family, count(*) AS n_mentions, count(DISTINCT key) AS n_papers, min(year) AS first_year, max(year) AS last_year FROM mentions WHERE family <> 'Brand#2' GROUP BY family""")
+def family_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = mentions(spark, d).where("family <> 'Brand#2'")
+    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("key").alias("n_papers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+@query("snippets", """SELECT doc_id, instr(text, 'worthless') - 1 AS start, substr(text, greatest(instr(text, 'worthless') - 30, 1), least(instr(text, 'worthless') + 38, length(text)) - greatest(instr(text, 'worthless') - 31, 0)) AS snippet
+FROM documents WHERE instr(text, 'worthless') > 0""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").withColumn("start", (F.instr("text", "worthless") - 1).cast("long")).where("start >= 0")
+    at = F.col("start").cast("int")
+    return rows.select("doc_id", "start", M.snippet(F.col("text"), at, at + len("worthless")).alias("snippet"))
+
+
+@query("completeness", """SELECT 'lang' AS "column", count(*) AS n_rows, count(*) FILTER (trim(lang) <> '') AS n_filled FROM documents
+UNION ALL SELECT 'text', count(*), count(*) FILTER (trim(text) <> '') FROM documents""")
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.completeness(table(spark, d, "documents"), ["lang", "text"])
