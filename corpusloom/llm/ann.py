@@ -28,7 +28,7 @@ from corpusloom.sources.storage import fresh_path, materialize
 
 DIMS = 8
 SAMPLE_ROWS = 20_000
-CELLS = 64
+CELLS, MOST_CELLS = 64, 4096  # cells grow with the rows, up to what the sample can place
 CHUNK_ROWS = 65_536
 LEAF_ROWS = 1024
 CONFIDENCE = 0.995
@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     product in double precision, components added in order; ties go to the smaller id.  Vectors that are null, zero or
     hold null or non-finite components, rows with a null id, and vectors of another length than the commonest take no part.  Rows that
     repeat an id and its vector count once.  With fewer than k candidates all are returned.  Other columns are not
-    read.  An empty table gives no row.
+    read.  An empty table gives no row.  The driver holds a bounded sample and 150 bytes a chunk of the index.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -206,7 +206,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     share = min(1.0, SAMPLE_ROWS / n)
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(place < share).select("vector").toPandas()["vector"]
-    splits = Splits(project(_matrix(sample)) if len(sample) else np.zeros((0, DIMS)))
+    n_cells = min(MOST_CELLS, max(CELLS, n // CHUNK_ROWS))
+    splits = Splits(project(_matrix(sample)) if len(sample) else np.zeros((0, DIMS)), n_cells)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +217,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     routed = materialize(rows.mapInArrow(route, "vec_id long, vector array<double>, cell int"), "op5-routed")
     counts = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per_chunk = max(1, min(CHUNK_ROWS, -(-n // CELLS)))
+    per_chunk = max(1, min(CHUNK_ROWS, -(-n // n_cells)))
     cuts = F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, -(-m // per_chunk))])
     folder = fresh_path(spark, "op5-index")
     chunked = routed.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), cuts[F.col("cell")]).cast("int"))
