@@ -30,6 +30,7 @@ from corpusloom.sources.storage import fresh_path, materialize
 
 MAGIC = b"EFTOKS01"
 SAMPLE = 256
+MAX_READERS = 10_000
 
 
 class EliasFano:
@@ -305,7 +306,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     )
                 shard.close()
 
-    return placed.repartition("shard").mapInPandas(
+    # A number is given since manifest rows are tiny: by their bytes all would be put into one task.
+    return placed.repartition(max(1, min(manifest.count(), MAX_READERS)), "shard").mapInPandas(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_path string, position long"
     )
 

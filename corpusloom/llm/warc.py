@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from corpusloom.sources.files import open_file, write_file
 from corpusloom.sources.storage import fresh_path, materialize
 
+MAX_READERS = 10_000
 DATE = "2024-01-01T00:00:00Z"  # archives are reproducible: no clock is read
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:corpusloom:warc")
@@ -132,7 +133,8 @@ def read_records(archives: DataFrame, with_payload: bool = True, batch_bytes: in
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
 
-    return archives.select("path").repartition("path").mapInArrow(run, RECORD_DDL)
+    # A number is given since rows of paths are tiny: by their bytes all would be put into one task.
+    return archives.select("path").repartition(max(1, min(archives.count(), MAX_READERS)), "path").mapInArrow(run, RECORD_DDL)
 
 
 def assemble(records: DataFrame) -> DataFrame:
