@@ -8,6 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that the Python objects made of one stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Batches cut anew so that no group is spread over two of them; many small groups share a batch."""
     held: list[pa.RecordBatch] = []
