@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.groups import in_slices
+
 SIZES = (512, 4096, 16384)  # presence bits for n = 1, 2, 3
 WIDTH = sum(SIZES)
 PER_LANGUAGE = 1000  # expected training texts a language at most; a sample is drawn by id hash
@@ -91,17 +93,17 @@ class Model:
         self.languages, self.weights = languages, weights
 
     @classmethod
-    def fit(cls, bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+    def fit(cls, packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+        """``packed`` has a row of presence bits a text, eight to a byte; they become numbers a block at a time."""
         languages = sorted(set(labels))
         y = np.array([languages.index(x) for x in labels], int)
-        phi = normalised(bits)
-        chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))]) if languages else np.zeros(0, int)
-        marks = phi[chosen]
-        k_nm = (phi @ marks.T).astype(np.float64)
+        rows = lambda r: normalised(np.unpackbits(r, axis=1, count=WIDTH))
+        marks = rows(packed[np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])])
+        k_nm = np.concatenate([rows(packed[a : a + 128]) @ marks.T for a in range(0, len(packed), 128)]).astype(np.float64)
         k_mm = (marks @ marks.T).astype(np.float64)
         goal = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-        balance = 1.0 / np.bincount(y, minlength=len(languages))[y] if languages else np.zeros(0)  # rare languages weigh as much
-        left = k_nm.T @ (balance[:, None] * k_nm) + ridge * len(languages) * k_mm + 1e-9 * np.eye(len(chosen))
+        balance = 1.0 / np.bincount(y)[y]  # rare languages weigh as much
+        left = k_nm.T @ (balance[:, None] * k_nm) + ridge * len(languages) * k_mm + 1e-9 * np.eye(len(marks))
         alpha = np.linalg.solve(left, k_nm.T @ (balance[:, None] * goal))
         return cls(languages, (marks.T.astype(np.float64) @ alpha).astype(np.float32))
 
@@ -118,7 +120,7 @@ class Model:
         return [self.languages[b] if h else UNDETERMINED for b, h in zip(best, has_letter)], score
 
 
-def _blocks(texts: list[str | None], rows: int = 256, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str | None], rows: int = 128, chars: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that fit in memory as dense matrices."""
     at = 0
     while at < len(texts):
@@ -151,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _blocks(texts):
                 bits, has_letter = presence(texts[a:b])
@@ -163,8 +165,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = sample.sort_values(["lang", "bits"])  # partition order doesn't matter
     if sample.empty:
         return Model([], np.zeros((WIDTH, 0), np.float32))
-    bits = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in sample["bits"]]), axis=1)
-    return Model.fit(bits, sample["lang"].tolist())
+    packed = np.frombuffer(b"".join(sample["bits"]), np.uint8).reshape(len(sample), -1)
+    return Model.fit(packed, sample["lang"].tolist())
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +183,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(*shared.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(0).to_pylist()
             langs: list[str] = []
             scores: list[float] = []

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.groups import in_slices
+
 SPACE = "▁"
 THREADS = 2
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 100_000
 
 # Fixed values of the format: field numbers, piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -181,8 +183,8 @@ class PieceCodec:
         new = {words[i] for words, at in zip(split, gaps) for i in at}
         self.memory.update((w, self.older[w]) for w in new if w in self.older)
         fresh = [w for w in new if w not in self.older]
-        for k in range(0, len(fresh), 8192):
-            self._learn(fresh[k : k + 8192])
+        for k in range(0, len(fresh), 4096):
+            self._learn(fresh[k : k + 4096])
         for words, known, at in zip(split, found, gaps):
             for i in at:
                 known[i] = self.memory[words[i]]
@@ -207,7 +209,7 @@ def codec(path: str, threads: int) -> PieceCodec:
     return PieceCodec(path, threads)
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", threads: int = THREADS, batch_chars: int = 2_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", threads: int = THREADS, batch_chars: int = 500_000) -> DataFrame:
     """All columns but the text, then pieces (ids), n_pieces, ids_crc32 (of little-endian int32), round_trip and n_differing.
 
     ``round_trip`` says that decoding the ids gives the text back; ``n_differing`` counts the words (or whole texts, where spaces
@@ -223,7 +225,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model_path, threads)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             at = 0
             while at < len(texts):
