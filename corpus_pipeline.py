@@ -27,6 +27,7 @@ def _model_path() -> str:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that have no letter and texts that are surely in another language than declared."""
+    ship_package(spark)
     found = identify(docs, keep=COLUMNS[1:])
     other = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
     return found.where((F.col("lang_pred") != UNDETERMINED) & ~other).select(*COLUMNS)
@@ -42,6 +43,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    ship_package(spark)
     dropped = near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id")
     dropped = materialize(dropped, "near-dropped")
     if dropped.count() <= BROADCAST_IDS:
@@ -56,6 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as SentencePiece ids, each checked by decoding."""
+    ship_package(spark)
     return encode_documents(docs.select(*COLUMNS), _model_path())
 
 
