@@ -192,12 +192,12 @@ def log_ratio_smoothed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "crossover_year",
-    f"""WITH {SHARES} SELECT family, min(year) FILTER (q > p) AS first_year, count(*) FILTER (q > p) AS n_years FROM shares GROUP BY family""",
+    f"""WITH {SHARES} SELECT family, min(year) FILTER (q > p) AS first_year, count(*) FILTER (q > p) AS n_years FROM shares GROUP BY family HAVING count(*) FILTER (q > p) > 0""",
 )
 def crossover_year(spark: SparkSession, d: str) -> DataFrame:
     ahead = F.col("q") > F.col("p")
     shares = divergence.field_shares(mentions(spark, d), FIELDS, ["year"])
-    return shares.groupBy("family").agg(F.min(F.when(ahead, F.col("year"))).alias("first_year"), F.count_if(ahead).alias("n_years"))
+    return shares.groupBy("family").agg(F.min(F.when(ahead, F.col("year"))).alias("first_year"), F.count_if(ahead).alias("n_years")).where("n_years > 0")
 
 
 @query(

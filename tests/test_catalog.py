@@ -19,7 +19,7 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
             return "\0"
         if isinstance(v, float | np.floating):
-            return repr(float(f"{v:.9g}"))
+            return str(int(v)) if float(v).is_integer() else repr(float(f"{v:.9g}"))
         return str(v)
 
     out = frame[sorted(frame.columns)].astype(object).map(text)
