@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.groups import Forest, group_edges, whole_groups
+from corpusloom.functions.groups import Forest, group_edges, in_slices, whole_groups
 from corpusloom.llm.shingles import MinHash, mix, shingle_sets
 from corpusloom.operators.components import connected_components
 from corpusloom.sources.storage import materialize
@@ -32,7 +32,7 @@ from corpusloom.sources.storage import materialize
 HASHES = 128  # MinHash values, kept as one byte each
 TREES, DEPTH = 16, 3
 REGION, MAX_DEPTH = 16_384, 48
-BLOCK = 512
+BLOCK = 256
 BROADCAST_IDS = 2_000_000  # 16 bytes each
 SLACK = 4.5  # standard deviations of a signature estimate that a true link may fall short
 
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(HASHES)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _text_blocks(texts):
                 sets = shingle_sets(texts[a:b], words)
@@ -243,7 +243,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts, expected = batch.column("text").to_pylist(), batch.column("expected").to_pylist()
             for a, b in _text_blocks(texts):
                 sets = shingle_sets(texts[a:b], words)
