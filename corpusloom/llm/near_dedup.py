@@ -3,14 +3,13 @@
 1. Every whole text becomes a sketch: its number of shingles, a digest of the sorted set, one byte of each MinHash
    value, and its first labels in ``TREES`` sorted orders of the signature (rotations, so that their first
    ``DEPTH`` values are disjoint).  Texts with equal sets form a class, one node of the graph.
-2. Nodes that share a prefix in some order are in one region of the forest.  A region starts at depth
-   ``DEPTH``; where it holds more than ``REGION`` nodes it descends to longer prefixes.  Within a region, sorted together, signatures
-   are compared in blocks of ``BLOCK`` nodes, and pairs whose estimate may reach the threshold join
-   into families; of each block only a spanning forest of its pairs is written.
+2. Nodes that share a prefix of ``DEPTH`` values in some order are in one region of the forest, whatever its size.  Within
+   a region all pairs of signatures are compared, in pairs of blocks of ``BLOCK`` nodes, and pairs whose estimate may reach the
+   threshold join into families; of each block pair only a spanning forest of its pairs is written.
 3. Each family's full sets meet in pairs of blocks.  Exact intersections decide the links, and again only a spanning
    forest is written.  Connected components of the links are the groups.
 
-No step gathers a hot group: exact copies are one node, families larger than a block are dealt out in pairs of blocks, and classes
+No step gathers a hot group: exact copies are one node, regions and families larger than a block are dealt out in pairs of blocks, and classes
 and components are looked up by joins that can be split.
 """
 
@@ -31,7 +30,6 @@ from corpusloom.sources.storage import materialize
 
 HASHES = 128  # MinHash values, kept as one byte each
 TREES, DEPTH = 16, 3
-REGION, MAX_DEPTH = 16_384, 48
 BLOCK = 256
 BROADCAST_IDS = 2_000_000  # 16 bytes each
 SLACK = 4.5  # standard deviations of a signature estimate that a true link may fall short
@@ -91,28 +89,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
 
 def forest_regions(nodes: DataFrame) -> DataFrame:
-    """(region, node, size) for regions of two or more nodes, each as shallow as its size allows."""
-    entries = nodes.select("node", "bytes", F.posexplode("labels").alias("tree", "region"))
-    entries = entries.select("region", "node", "tree", F.lit(DEPTH).alias("depth"), "bytes")
-    done = None
-    while True:
-        light = entries.select("region", "node")
-        sizes = materialize(light.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "op2-sizes")
-        depth = F.col("depth")
-        last = entries.first()
-        deepest = last is None or last["depth"] >= MAX_DEPTH
-        fits = F.lit(True) if deepest else F.col("size") <= REGION
-        found = light.join(sizes.where(fits), "region")
-        done = found if done is None else done.unionByName(found)
-        if deepest or sizes.where(~fits).isEmpty():
-            return done
-        longer = F.xxhash64("region", F.expr(f"substring(concat(bytes, bytes), {DEPTH} * tree + depth + 1, {DEPTH})"))
-        entries = materialize(
-            entries.join(sizes.where(~fits).select("region"), "region").select(
-                longer.alias("region"), "node", "tree", (depth + DEPTH).alias("depth"), "bytes"
-            ),
-            "op2-descent",
-        )
+    """(region, node, size) for regions of two or more nodes; no size is too large."""
+    entries = nodes.select("node", F.explode("labels").alias("region"))
+    sizes = materialize(entries.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "op2-sizes")
+    return entries.join(sizes, "region").select("region", "node", "size")
 
 
 def _in_block_pairs(rows: DataFrame, group: str, node: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm.near_dedup import exact_links, near_dedup
+from corpusloom.llm.near_dedup import DEPTH, HASHES, TREES, exact_links, families, forest_labels, forest_regions, near_dedup
 from corpusloom.llm.shingles import jaccard_at_least, shingle_sets
 
 
@@ -62,6 +62,28 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 3, 85, 100)
 
 
+def test_pairs_in_a_large_region(spark, monkeypatch):
+    """Against brute force: mates that agree in 120 of 128 values, but in no order beyond the prefix that all texts share."""
+    monkeypatch.setattr("corpusloom.llm.near_dedup.REGION", 8, raising=False)  # where regions were once split
+    monkeypatch.setattr("corpusloom.llm.near_dedup.BLOCK", 16)
+    rng = np.random.default_rng(4)
+    signatures = rng.integers(0, 256, (80, HASHES)).astype(np.uint64)
+    signatures[1::2] = signatures[::2]
+    for t in range(TREES):
+        at = DEPTH * t
+        if t % 2:
+            signatures[1::2, at] = (signatures[1::2, at] + 1) % 256
+        else:
+            signatures[:, at : at + DEPTH] = t
+    low = signatures.astype(np.uint8)
+    rows = [(i, bytearray(low[i].tobytes()), forest_labels(signatures[i : i + 1])[0].tolist()) for i in range(80)]
+    nodes = spark.createDataFrame(rows, "node long, bytes binary, labels array<long>")
+    found = {(r.src, r.dst) for r in families(forest_regions(nodes), nodes.select("node", "bytes"), 0.85).collect()}
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if (low[i] == low[j]).sum() >= 100}
+    assert want == {(i, i + 1) for i in range(0, 80, 2)}
+    assert {(min(x), max(x)) for x in found} == want
+
+
 def test_edges(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(3, text, 1), (3, text, 1), (None, text, 1), (1, text, 1)], "doc_id long, text string, component_id int")
