@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it back, so that a
 lost executor costs a re-read and never a recomputation of everything upstream.  Where that
-setting is absent (tests on a single machine) a temporary folder is made once per application.
+setting is absent and all runs in one local process, as in tests, a temporary folder is made once per application; on a
+cluster its absence is an error, since executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         path = tempfile.mkdtemp(prefix="corpusloom-")
@@ -52,6 +55,26 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+class Scratch:
+    """The intermediate tables of one operation, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, fresh_path(spark, name)
+        self.names: set[str] = set()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage of ``df`` with a table called ``name``."""
+        if name in self.names:
+            raise ValueError(f"table {name} is there already")
+        self.names.add(name)
+        return materialize(df, name, f"{self.root}/{name}")
+
+    def close(self, keep: tuple[str, ...] = ()) -> None:
+        """Delete all tables but those that a result still reads."""
+        for name in self.names - set(keep):
+            discard(self.spark, f"{self.root}/{name}")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -231,3 +231,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[500 + i] == 500 for i in range(40)) and got[7] == 7 and 3 not in got
     assert connected_components(df.where("false")).count() == 0
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A path with its least node at the far end is done in tens of rounds."""
+    rounds = []
+    from corpusloom.operators import components
+
+    real = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, *rest: rounds.append(1) or real(df, *rest))
+    nodes = [*range(2, 4097), 1]
+    got = connected_components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "src long, dst long")).collect()
+    assert {r.component for r in got} == {1} and len(got) == 4096
+    assert len(rounds) < 2 + 2 * 30
