@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm.near_dedup import DEPTH, HASHES, TREES, exact_links, families, forest_labels, forest_regions, near_dedup
+from corpusloom.llm.near_dedup import DEPTH, HASHES, TREES, exact_links, families, forest, forest_labels, near_dedup
 from corpusloom.llm.shingles import jaccard_at_least, shingle_sets
+from corpusloom.sources.storage import Scratch
 
 
 def words(text):
@@ -55,17 +56,48 @@ def test_against_brute_force(spark, k, num, den):
     assert got == brute(rows, k, num, den)
 
 
-def test_large_family_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("corpusloom.llm.near_dedup.BLOCK", 16)
-    rows = corpus(9, 3, 40)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows, 3, 85, 100)
-
-
-def test_pairs_in_a_large_region(spark, monkeypatch):
-    """Against brute force: mates that agree in 120 of 128 values, but in no order beyond the prefix that all texts share."""
-    monkeypatch.setattr("corpusloom.llm.near_dedup.REGION", 8, raising=False)  # where regions were once split
+def components_by_products(rows, k, num, den):
+    """Brute force for many texts: all intersections at once."""
+    sets = [brute_set(t, k) for _, t in rows]
+    number = {x: i for i, x in enumerate(set().union(*sets))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    linked = den * both >= num * (size[:, None] + size[None, :] - both)
+    label = np.array([i for i, _ in rows])
+    while True:
+        least = np.where(linked, label[None, :], label.max() + 1).min(axis=1)
+        if (least == label).all():
+            return {i: int(x) for (i, _), x in zip(rows, label)}
+        label = least
+
+
+def test_large_families(spark, monkeypatch):
+    """Families many blocks large: copies of one text that only it links, texts that drift, and pairs on both sides of the threshold."""
+    monkeypatch.setattr("corpusloom.llm.near_dedup.BLOCK", 32)
+    monkeypatch.setattr("corpusloom.llm.near_dedup.PIVOTS", 4)
+    monkeypatch.setattr("corpusloom.llm.near_dedup.WINDOW", 4)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(9000)]
+    rows = []
+    for number, shape in enumerate(["star", "chain", "near the threshold"]):
+        base = rng.choices(vocabulary, k=200)
+        w = list(base)
+        for i in range(500):
+            if shape != "chain":
+                w = list(base)
+            for at in rng.sample(range(0, 200, 3), {"star": 5, "chain": 1, "near the threshold": 3 + i % 5}[shape] if i else 0):
+                w[at] = rng.choice(vocabulary)
+            rows.append((number * 1000 + i * 7 % 503, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_by_products(rows, 3, 85, 100)
+
+
+def test_mates_apart_in_all_orders(spark, monkeypatch):
+    """Against brute force: mates that agree in most values, but in no order beyond a prefix that all texts share."""
     monkeypatch.setattr("corpusloom.llm.near_dedup.BLOCK", 16)
+    monkeypatch.setattr("corpusloom.llm.near_dedup.WINDOW", 4)
     rng = np.random.default_rng(4)
     signatures = rng.integers(0, 256, (80, HASHES)).astype(np.uint64)
     signatures[1::2] = signatures[::2]
@@ -76,12 +108,11 @@ def test_pairs_in_a_large_region(spark, monkeypatch):
         else:
             signatures[:, at : at + DEPTH] = t
     low = signatures.astype(np.uint8)
-    rows = [(i, bytearray(low[i].tobytes()), forest_labels(signatures[i : i + 1])[0].tolist()) for i in range(80)]
-    nodes = spark.createDataFrame(rows, "node long, bytes binary, labels array<long>")
-    found = {(r.src, r.dst) for r in families(forest_regions(nodes), nodes.select("node", "bytes"), 0.85).collect()}
-    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if (low[i] == low[j]).sum() >= 100}
-    assert want == {(i, i + 1) for i in range(0, 80, 2)}
-    assert {(min(x), max(x)) for x in found} == want
+    rows = [(i, 100, bytearray(low[i].tobytes()), forest_labels(signatures[i : i + 1])[0].tolist()) for i in range(80)]
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, bytes binary, labels array<long>")
+    tables = Scratch(spark, "test")
+    found = {r.node: r.family for r in families(forest(nodes, tables), 85, 100, tables).collect()}
+    assert found == {i: i - i % 2 for i in range(80)}
 
 
 def test_edges(spark):
@@ -98,7 +129,7 @@ def test_shingles_and_links():
         assert [len(s) for s in shingle_sets(texts, k)] == [len(brute_set(t, k)) for t in texts]
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]
-    linked = exact_links(sets, 1, 2)
+    linked, _ = exact_links(sets, 1, 2)
     up = list(range(40))
     for a, b in linked:
         assert jaccard_at_least(sets[a], sets[b], 1, 2)
