@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
+from corpusloom.llm import token_files
 from corpusloom.llm.token_files import EliasFano, Shard, WordEncoder, token_table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,13 +27,16 @@ def test_elias_fano(values):
 def test_encoder_is_the_library(tmp_path):
     encoder = WordEncoder(PATH)
     rng = random.Random(1)
-    words = ["the", "and", "thereof", "don't", "x\ny", "über", "1,234.5", "—", "\tt", "", "a.\nB"]
+    words = ["the", "and", "thereof", "don't", "x\ny", "über", "1,234.5", "—", "\tt", "", "a.\nB", "end.", "(x)", "straße!?", "Привет,", "l'été", "x's", "a-b", "ǅ", "日本語", "e\u0301", "٣", "\u00a0b", "x\x1c", "_a_", "end.\nNext", "x\nY.", "x.\n\nY", "q'\ns", "a\n1"]
     texts = ODD + [" ".join(rng.choices(words, k=40)) for _ in range(60)]
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for _ in range(2):
-        assert [np.frombuffer(d, "<u2").tolist() for d in encoder.encode(texts)] == want
-    encoder.LIMIT = 3
-    assert [np.frombuffer(d, "<u2").tolist() for d in encoder.encode(texts)] == want
+    for limit in (1000, 1000, 3, 3):
+        encoder.words.limit = limit
+        ids, counts = encoder.encode(pa.array(texts), 7)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [x + [7] for x in want]
+    ids, counts = encoder.encode(pa.array([], pa.string()), 7)
+    assert len(ids) == len(counts) == 0
 
 
 def test_table(spark):
@@ -44,7 +49,7 @@ def test_table(spark):
         ids = encoder.tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         shard = Shard(r.shard_path)
-        assert shard.ids(*shard.span(r.position)).tolist() == ids and shard.doc_ids()[r.position] == r.doc_id
+        assert shard.ids(shard.end(r.position - 1), shard.end(r.position)).tolist() == ids and shard.doc_id(r.position) == r.doc_id
         start += len(ids)
 
 
@@ -53,3 +58,24 @@ def test_table_edges(spark):
     rows = token_table(df, PATH).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [1, 1, None, None] and rows[0].ids_crc32 == rows[1].ids_crc32
     assert token_table(df.where("false"), PATH).count() == 0
+
+
+def test_shards_roll_and_hot_ids(spark, monkeypatch):
+    """One id for most rows, negative and huge ids, and shards of a few documents each."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 2000)
+    ids = [-(2**62), -5, *[7] * 300, 2**62, *[None] * 100]
+    df = spark.createDataFrame([(k, f"text number {i % 150} " * 20) for i, k in enumerate(ids)], "doc_id long, text string")
+    rows = token_table(df, PATH, batch_bytes=3000).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == ids and len({r.shard_path for r in rows}) > 10
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
+def test_query_reads_by_select(spark, monkeypatch):
+    """Files written well and a broken select give no result that looks right."""
+    rows = [(i, "some words " * i) for i in range(20)]
+    folder = token_files.fresh_path(spark, "test-shards")
+    manifest = token_files.encode_to_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, folder).collect()
+    shard = Shard(manifest[0].path)
+    good = [shard.end(i) for i in range(shard.n)]
+    monkeypatch.setattr(EliasFano, "select", lambda self, i: i)
+    assert [shard.end(i) for i in range(shard.n)] != good and shard.ends.values().tolist() == good
