@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed field by field and rebuilt: its normaliser, the metaspace marker, unigram scores or the merges that
-its BPE scores imply, and byte fallback.  Words (what stands between single spaces) are encoded in multithreaded batches
-and remembered.  Each word is also encoded by the sentencepiece library when it is first seen; where the
-two differ, its ids are the ones that stand, and the document counts it.
+its BPE scores imply, and byte fallback.  The rebuilt tokenizer encodes, in multithreaded batches; its ids are the result.  Words (what
+stands between single spaces) are remembered.  The sentencepiece library only verifies: whatever the tokenizer encodes, a new word or
+a text that can't be taken by words, the library encodes too, and a document counts what the two encode differently.
 """
 
 from __future__ import annotations
@@ -11,21 +11,23 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.groups import in_slices
+from corpusloom.llm.words import WordRows, by_bytes, flattened, gathered
 
 SPACE = "▁"
 THREADS = 2
-MEMORY_WORDS = 100_000
+MEMORY_WORDS = 500_000  # and as many of the turn before
 
 # Fixed values of the format: field numbers, piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -127,75 +129,102 @@ class PieceModel:
 
 
 class PieceCodec:
-    """Encoder and decoder of one model with a memory of words."""
+    """Encoder and decoder of one model with a memory of words; each word is marked by what was found when it was new.
 
-    def __init__(self, path: str, threads: int = THREADS):
+    ``verify`` gives the ids that the verifier has for texts; by default that is the sentencepiece library.
+    """
+
+    DIFFERS, LOST = 1, 2  # marks: the verifier has other ids; decoding doesn't give the word back
+
+    def __init__(self, path: str, threads: int = THREADS, verify: Callable[[list[str]], list[list[int]]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        import sentencepiece
-
         with open(path, "rb") as f:
             data = f.read()
         self.model = PieceModel(data)
         self.tokenizer = self.model.tokenizer()
-        self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        if verify is None:
+            import sentencepiece
+
+            library = sentencepiece.SentencePieceProcessor(model_proto=data)
+            verify = lambda texts: library.encode(texts, num_threads=1)
+        self.verify = verify
         self.surface = self.model.surfaces()
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.differing: set[str] = set()
+        lengths = np.fromiter(map(len, self.surface), np.int64, len(self.surface))
+        self.surface_ends = np.concatenate([[0], np.cumsum(lengths)])
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         line = self.tokenizer.encode("a\n").ids
         self.line_end = line[-1] if self.model.verbatim and self.model.pieces[line[-1]][2] == BYTE else None
+        self.words = WordRows("<i4", MEMORY_WORDS, self._encode_words)
 
-    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of whole texts, and whether the two libraries agree on them."""
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """The tokenizer's ids of whole texts, and whether the verifier has the same."""
         own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        other = self.reference.encode(texts, num_threads=1)
-        return other, [a == b for a, b in zip(own, other)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Words as lines of texts: a line end is one byte piece, which no merge joins to its neighbours."""
-        lines = [w for w in words if "\n" not in w] if self.line_end is not None else []
-        alone = [w for w in words if "\n" in w] if lines else words
-        texts = ["\n ".join(lines[k : k + 64]) + "\n" for k in range(0, len(lines), 64)]
-        if texts:
-            ids, agree = self._both(texts)
-            flat = np.fromiter(chain.from_iterable(ids), "<i4")
-            ends = np.flatnonzero(flat == self.line_end)
-            if len(ends) == len(lines) and all(agree):
-                data = flat.tobytes()
-                self.memory.update(zip(lines, [data[a + 4 : b] for a, b in pairwise([-4, *(ends * 4).tolist()])]))
-            else:
-                alone = words
+        other = self.verify(texts)
+        return own, np.fromiter((a == b for a, b in zip(own, other)), bool, len(texts))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words as lines of texts: a line end is one byte piece, which no merge joins to its neighbours.
+
+        Where the two libraries differ on a text of many lines, its words are encoded one by one.
+        """
+        sizes = np.zeros(len(words), np.int64)
+        parts: list[np.ndarray] = []
+        order: list[int] = []
+        alone = [i for i, w in enumerate(words) if self.line_end is None or "\n" in w]
+        lines = [i for i, w in enumerate(words) if "\n" not in w] if self.line_end is not None else []
+        groups = [lines[k : k + 64] for k in range(0, len(lines), 64)]
+        ids, same = self._ids(["\n ".join([words[i] for i in g]) + "\n" for g in groups]) if groups else ([], np.zeros(0, bool))
+        for group, found, ok in zip(groups, ids, same):
+            found = np.array(found, "<i4")
+            ends = np.flatnonzero(found == self.line_end)
+            if not ok or len(ends) != len(group):
+                alone += group
+                continue
+            sizes[group] = np.diff(ends, prepend=-1) - 1
+            parts.append(np.delete(found, ends))
+            order += group
+        marks = np.zeros(len(words), np.uint8)
         if alone:
-            ids, agree = self._both(alone)
-            self.memory.update(zip(alone, [np.array(x, "<i4").tobytes() for x in ids]))
-            self.differing.update(w for w, ok in zip(alone, agree) if not ok)
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
-        """(ids of each text as little-endian int32, how many of its words or texts the two libraries encode differently)."""
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory, self.older = {}, self.memory
-        split = [t.split(" ") if self.model.verbatim and t else [] for t in texts]
-        split = [words if all(words) else [] for words in split]
-        get = self.memory.get
-        found = [list(map(get, words)) for words in split]
-        gaps = [[i for i, data in enumerate(known) if data is None] for known in found]
-        new = {words[i] for words, at in zip(split, gaps) for i in at}
-        self.memory.update((w, self.older[w]) for w in new if w in self.older)
-        fresh = [w for w in new if w not in self.older]
-        for k in range(0, len(fresh), 4096):
-            self._learn(fresh[k : k + 4096])
-        for words, known, at in zip(split, found, gaps):
-            for i in at:
-                known[i] = self.memory[words[i]]
-        whole = [i for i, words in enumerate(split) if not words and texts[i]]
-        out = [b"".join(known) for known in found]
-        odd = [sum(w in self.differing for w in words) if self.differing else 0 for words in split]
-        for k in range(0, len(whole), 8):
-            ids, agree = self._both([texts[i] for i in whole[k : k + 8]])
-            for i, x, ok in zip(whole[k : k + 8], ids, agree):
-                out[i], odd[i] = np.array(x, "<i4").tobytes(), int(not ok)
-        return out, odd
+            ids, same = self._ids([words[i] for i in alone])
+            parts.append(flattened(ids, "<i4")[0])
+            sizes[alone] = [len(x) for x in ids]
+            marks[np.array(alone)[~same]] |= self.DIFFERS
+            order += alone
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        flat = np.concatenate(parts) if parts else np.zeros(0, "<i4")
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        flat, sizes = gathered(flat, ends, place)
+        data, per_id = gathered(self.surface_bytes, self.surface_ends, flat)
+        cuts = np.concatenate([[0], np.cumsum(per_id)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        data = data.tobytes()
+        lost = [data[a:b] != b" " + w.encode() for a, b, w in zip(cuts, cuts[1:], words)]
+        marks[np.array(lost, bool)] |= self.LOST
+        return flat, sizes, marks
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, each text's number of ids, of its words or itself that the verifier encodes
+        differently, and whether decoding gives it back)."""
+        if not len(texts):
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        by_words = pc.invert(pc.match_substring_regex(texts, "^ | $|  |^$")) if self.model.verbatim else pa.array(np.zeros(len(texts), bool))
+        whole = ~by_words.to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(by_words, texts, ""), " ")
+        rows, begin = self.words.numbered(lists, skip_first=False)
+        kept = (self.words.rows, self.words.used)
+        at = np.flatnonzero(whole)
+        for k in range(0, len(at), 8):
+            part = [texts[i].as_py() for i in at[k : k + 8].tolist()]
+            ids, same = self._ids(part)
+            back = np.array([self.decode(x) == t for x, t in zip(ids, part)], bool)
+            rows[begin[at[k : k + 8]]] = self.words.add_lists(ids, self.DIFFERS * ~same + self.LOST * ~back)
+        ids, sizes = self.words.gather(rows)
+        marks = self.words.marks[rows]
+        self.words.forget(*kept)
+        n_ids = np.add.reduceat(sizes, begin)
+        n_differing = np.add.reduceat((marks & self.DIFFERS > 0).astype(np.int32), begin)
+        return ids, n_ids, n_differing, np.add.reduceat((marks & self.LOST > 0).astype(np.int32), begin) == 0
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that aren't UTF-8 become replacement characters."""
@@ -209,43 +238,55 @@ def codec(path: str, threads: int) -> PieceCodec:
     return PieceCodec(path, threads)
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", threads: int = THREADS, batch_chars: int = 500_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", threads: int = THREADS, batch_bytes: int = 500_000) -> DataFrame:
     """All columns but the text, then pieces (ids), n_pieces, ids_crc32 (of little-endian int32), round_trip and n_differing.
 
-    ``round_trip`` says that decoding the ids gives the text back; ``n_differing`` counts the words (or whole texts, where spaces
-    aren't single) on which the rebuilt tokenizer and the sentencepiece library disagree; the library's ids stand.
+    ``round_trip`` says that decoding the ids gives the text back (a text taken by words decodes to its words' decodings one after
+    another, each of which is compared); ``n_differing`` counts the words (or whole texts, where spaces aren't single)
+    for which the sentencepiece library has other ids than the rebuilt tokenizer, whose ids stand.
     Null and empty texts have no pieces and make the round trip.  Input columns with the names of the new ones are replaced.
     An empty table gives an empty result.
     """
     added = ("pieces", "n_pieces", "ids_crc32", "round_trip", "n_differing")
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in docs.columns if c not in (text_col, *added)])
-    schema = rows.drop("_text").schema
-    for name, kind in zip(added, (T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.BooleanType(), T.IntegerType())):
-        schema = schema.add(name, kind)
+    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"keep_{c}") for c in docs.columns if c not in (text_col, *added)])
+    kinds = (T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.BooleanType(), T.IntegerType())
+    schema = T.StructType([*rows.schema.fields[1:], *(T.StructField(*x) for x in zip(added, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model_path, threads)
         for batch in in_slices(batches):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= batch_chars):
-                    size += len(texts[to])
-                    to += 1
-                data, odd = coder.encode(texts[at:to])
-                ends = [0, *accumulate(len(d) // 4 for d in data)]
-                values = np.frombuffer(b"".join(data), "<i4")
-                same = [coder.decode(values[a:b].tolist()) == t for (a, b), t in zip(pairwise(ends), texts[at:to])]
+            texts = pc.fill_null(batch.column(0), "")
+            for at, to in by_bytes(texts, batch_bytes):
+                ids, sizes, odd, same = coder.encode(texts.slice(at, to - at))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                data = memoryview(ids).cast("B")
                 columns = [
                     *[batch.column(i).slice(at, to - at) for i in range(1, batch.num_columns)],
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
-                    pa.array([len(d) // 4 for d in data], pa.int64()),
-                    pa.array([zlib.crc32(d) for d in data], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in pairwise(ends.tolist())], pa.int64()),
                     pa.array(same, pa.bool_()),
                     pa.array(odd, pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], *added])
-                at = to
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(c).alias(c.removeprefix("keep_")) if c.startswith("keep_") else F.col(c) for c in out.columns])
+
+
+def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "pieces", text_col: str = "text") -> DataFrame:
+    """All columns, with the text of each list of ids in ``text_col``, which is replaced where it is there.
+
+    Null ids give a null text, no ids an empty one; bytes that aren't UTF-8 become replacement characters.
+    """
+    kept = [c for c in encoded.columns if c != text_col]
+    rows = encoded.select(*kept)
+    at = kept.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(model_path, THREADS)
+        for batch in in_slices(batches):
+            texts = [None if ids is None else coder.decode(ids) for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
