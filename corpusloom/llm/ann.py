@@ -6,10 +6,10 @@ projected distance over the squared distance has a chi-square distribution with
 
 A kd-tree over the projections splits space into cells; its upper levels are fitted on a bounded sample and every row is routed through
 them, a cell with many rows being cut into chunks by id hash.  Each chunk is stored as an index file whose own kd-tree ends in
-leaves.  A query takes leaves by increasing projected distance and verifies all rows of a leaf by their true inner
-products; it stops when a row closer than the k-th found would, beyond the current projected distance, be
-less likely than 1 - ``CONFIDENCE``.  First a query searches its own cell; with the k-th score found there
-it then visits just the chunks that the test can't exclude.
+leaves.  A query takes leaves by increasing projected distance.  The test: were a row closer than the k-th found, it would lie
+within the projected distance r with a probability above ``CONFIDENCE`` if r^2 exceeds that quantile times the k-th's squared
+distance.  A leaf or a chunk beyond r ends or skips the search, and of a leaf within r just the rows within r are verified
+by their true inner products.  First a query searches its own cell; the k-th score found there then bounds r everywhere else.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from corpusloom.sources.files import open_file, write_file
 from corpusloom.sources.storage import fresh_path, materialize
 
-DIMS = 8
+DIMS = 16
 SAMPLE_ROWS = 20_000
-CELLS, MOST_CELLS = 64, 4096  # cells grow with the rows, up to what the sample can place
+CELLS, MOST_CELLS = 8, 4096  # cells grow with the rows, up to what the sample can place
 CHUNK_ROWS = 65_536
-LEAF_ROWS = 1024
-CONFIDENCE = 0.995
-QUERY_BLOCK = 1024
+LEAF_ROWS = 512
+CONFIDENCE = 0.93
+QUERY_BLOCK = 512
+PAIRS = 1 << 16  # verified at once
 MARGIN = 1e-9
 
 
@@ -56,10 +57,8 @@ def projection(dim: int, seed: int = 7) -> np.ndarray:
 
 def inner_products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Products of aligned rows, added up from the first component to the last in double precision."""
-    total = np.zeros(len(rows))
-    for j in range(rows.shape[1]):
-        total += rows[:, j] * queries[:, j]
-    return total
+    products = rows * queries
+    return np.add.accumulate(products, axis=1, out=products)[:, -1]
 
 
 class Splits:
@@ -100,12 +99,13 @@ def kd_leaves(points: np.ndarray, most: int = LEAF_ROWS) -> list[np.ndarray]:
 
 
 class Chunk:
-    """An index file: vectors in leaf order, their ids, and each leaf's rows and box in the projection."""
+    """An index file: vectors and projected points in leaf order, their ids, and each leaf's rows and box in the projection."""
 
     def __init__(self, uri: str):
         with open_file(uri) as f:
             data = np.load(io.BytesIO(f.read()))
-            self.ids, self.vectors, self.edges, self.low, self.high = (data[k] for k in ("ids", "vectors", "edges", "low", "high"))
+            self.ids, self.vectors, self.points, self.edges, self.low, self.high = (data[k] for k in ("ids", "vectors", "points", "edges", "low", "high"))
+        self.verified = 0  # pairs whose inner product was computed
 
     @staticmethod
     def build(uri: str, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ class Chunk:
         out = io.BytesIO()
         low = np.stack([points[rows].min(axis=0) for rows in leaves])
         high = np.stack([points[rows].max(axis=0) for rows in leaves])
-        np.savez(out, ids=ids[order], vectors=vectors[order], edges=np.cumsum([0, *map(len, leaves)]), low=low, high=high)
+        np.savez(out, ids=ids[order], vectors=vectors[order], points=points[order], edges=np.cumsum([0, *map(len, leaves)]), low=low, high=high)
         write_file(uri, [out.getvalue()])
         return low.min(axis=0), high.max(axis=0)
 
@@ -123,12 +123,11 @@ class Chunk:
 
         ``reach`` is |q|^2 + M^2; ``floor`` is the k-th score known so far, or -inf.
         """
-        n_leaves = len(self.edges) - 1
         gap = box_gap(points, self.low, self.high)
         order = np.argsort(gap, axis=1, kind="stable")
         best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qids]
         floor = floor.copy()
-        for step in range(n_leaves):
+        for step in range(len(self.edges) - 1):
             leaf_of = order[:, step]
             near = gap[np.arange(len(qids)), leaf_of] <= quantile * (reach - 2 * floor)
             if not near.any():
@@ -136,27 +135,36 @@ class Chunk:
             for leaf in np.unique(leaf_of[near]):
                 who = np.flatnonzero(near & (leaf_of == leaf))
                 lo, hi = self.edges[leaf], self.edges[leaf + 1]
-                rows, ids = self.vectors[lo:hi], self.ids[lo:hi]
-                rough = queries[who] @ rows.T
-                rough[ids[None, :] == qids[who][:, None]] = -np.inf
-                slack = MARGIN * np.sqrt((queries[who] ** 2).sum(axis=1) * (rows**2).sum(axis=1).max())
-                take = min(k, hi - lo)
-                least = np.partition(rough, hi - lo - take, axis=1)[:, hi - lo - take]
-                at, row = np.nonzero(rough >= np.maximum(np.maximum(least, floor[who]) - slack, -1e300)[:, None])
-                score = inner_products(rows[row], queries[who][at])
+                at, row = np.nonzero(self._within(points[who], lo, hi) <= (quantile * (reach - 2 * floor))[who, None])
+                other = self.ids[lo + row] != qids[who[at]]
+                at, row = at[other], row[other] + lo
+                self.verified += len(at)
                 cuts = np.searchsorted(at, np.arange(len(who) + 1))
+                score = self._verify(queries, who[at], row)
                 for i, q in enumerate(who):
                     part = slice(cuts[i], cuts[i + 1])
-                    if part.start == part.stop:
-                        continue
-                    all_ids = np.concatenate([best[q][0], ids[row[part]]])
-                    all_scores = np.concatenate([best[q][1], score[part]])
-                    top = np.lexsort((all_ids, -all_scores))[:k]
-                    best[q] = (all_ids[top], all_scores[top])
-                    if len(top) == k:
-                        floor[q] = max(floor[q], all_scores[top[-1]])
+                    good = score[part] >= floor[q]
+                    if good.any():
+                        all_ids = np.concatenate([best[q][0], self.ids[row[part][good]]])
+                        all_scores = np.concatenate([best[q][1], score[part][good]])
+                        top = np.lexsort((all_ids, -all_scores))[:k]
+                        best[q] = (all_ids[top], all_scores[top])
+                        if len(top) == k:
+                            floor[q] = max(floor[q], all_scores[top[-1]])
         return best
 
+    def _within(self, points: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Squared projected distances to the rows of a leaf, a little less than true where rounding could matter."""
+        rows = self.points[lo:hi]
+        squares = (points**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
+        return (1 - MARGIN) * (squares - 2 * points @ rows.T) - MARGIN * squares
+
+    def _verify(self, queries: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = np.empty(len(q))
+        for at in range(0, len(q), PAIRS):
+            out[at : at + PAIRS] = inner_products(self.vectors[row[at : at + PAIRS]], queries[q[at : at + PAIRS]])
+        return out
+
 
 def box_gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances from points to boxes."""
@@ -182,20 +190,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of other ids.  Score is the inner
     product in double precision, components added in order; ties go to the smaller id.  Vectors that are null, zero or
-    hold null or non-finite components, rows with a null id, and vectors of another length than the commonest take no part.  Rows that
-    repeat an id and its vector count once.  With fewer than k candidates all are returned.  Other columns are not
-    read.  An empty table gives no row.  The driver holds a bounded sample and 150 bytes a chunk of the index.
+    hold null or non-finite components, and rows with a null id, take no part; vectors of different lengths have no inner product, so
+    each length is searched by itself.  Rows that repeat an id and its vector count once.  With fewer than k candidates all are returned.
+    Other columns are not read.  An empty table gives no row.  The driver holds a bounded sample and 300 bytes a chunk of the index.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    shapes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
-    shape = shapes.orderBy(F.desc("n"), "dim").first()
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    dim, n, longest = shape["dim"], shape["n"], shape["norm"]
-    rows = rows.where(F.col("dim") == dim).drop("dim")
+    norm = F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")
+    shapes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"), norm)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for shape in shapes.where("queries > 0 and n > 1").orderBy("dim").collect():  # one row a length of vector
+        found = found.unionByName(_nearest(rows.where(F.col("dim") == shape["dim"]).drop("dim"), shape["dim"], shape["n"], shape["norm"], k, every, seed))
+    return found
+
+
+def _nearest(rows: DataFrame, dim: int, n: int, longest: float, k: int, every: int, seed: int) -> DataFrame:
+    """``nearest`` for n rows (vec_id, vector) of one length; ``longest`` is the largest squared norm."""
+    spark = rows.sparkSession
     directions = projection(dim, seed)
     quantile = chi_square_quantile(CONFIDENCE, DIMS)
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from corpusloom.llm.ann import Splits, chi_square_quantile, kd_leaves, nearest
+from corpusloom.llm.ann import CONFIDENCE, DIMS, Chunk, Splits, chi_square_quantile, kd_leaves, nearest, projection
 
 DDL = "vec_id long, embedding array<float>, score int"
 
@@ -57,3 +57,25 @@ def test_parts():
     assert sorted(np.concatenate(leaves)) == list(range(1000)) and max(map(len, leaves)) <= 100
     cells = Splits(points, 16).cell(points)
     assert np.bincount(cells, minlength=16).min() > 40
+
+
+def test_the_stop_spares_rows(tmp_path):
+    """Vectors with little contrast, as hard as they come: a fifth of all pairs isn't verified, and nine of ten neighbours are found."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = x @ projection(64)[:-1]
+    Chunk.build(str(tmp_path / "c.npz"), np.arange(8000), x, points)
+    chunk, queries = Chunk(str(tmp_path / "c.npz")), np.arange(0, 8000, 100)
+    quantile = chi_square_quantile(CONFIDENCE, DIMS)
+    found = chunk.search(queries, x[queries], points[queries], np.full(80, 2.0), np.full(80, -np.inf), 20, quantile)
+    scores = x[queries] @ x.T
+    scores[np.arange(80), queries] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(set(ids.tolist()) & set(w.tolist())) / 20 for (ids, _), w in zip(found, want)]) >= 0.9
+    assert chunk.verified < 0.8 * 80 * 8000
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(20, [1.0, 0.0]), (1, [1.0, 1.0]), (40, [1.0]), (2, [3.0]), (3, [4.0]), (60, [1.0, 1.0, 1.0])]
+    assert found(spark.createDataFrame([(*r, 0) for r in rows], DDL)) == {20: [(1, 1.0)], 40: [(3, 4.0), (2, 3.0)]}
