@@ -31,4 +31,20 @@ def test_first_document_keeps_its_first(spark):
 def test_spread_is_exact(spark, limit):
     rows = [(d, f"this is the line number {n}", f"s{d % n}") for n in (2, 3, 4, 30, 39, 40, 41, 80) for d in range(2 * n)]
     lines = lines_of(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "source", "text", 5)
-    assert spread_lines(lines, limit).count() == sum(n >= limit for n in (2, 3, 4, 30, 39, 40, 41, 80))
+    assert spread_lines(lines, limit, 1000).count() == sum(n >= limit for n in (2, 3, 4, 30, 39, 40, 41, 80))
+    short = lines_of(spark.createDataFrame([(d, f"line {n}", s) for d, n, s in [(r[0], r[1].split()[-1], r[2]) for r in rows]], "doc_id long, text string, source string"), "doc_id", "source", "text", 5)
+    assert spread_lines(short, 2, limit).count() == sum(n >= limit for n in (2, 3, 4, 30, 39, 40, 41, 80))
+
+
+def test_short_lines_need_more_sites(spark):
+    rows = [(i, f"All rights reserved.\n \nOn nine sites.\nown text of number {i}", f"s{i}") for i in range(9)] + [(9, "All rights reserved.", "s9")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == rows[0][1] and got[9] == "" and got[4] == " \nOn nine sites.\nown text of number 4"
+
+
+def test_a_very_long_text_of_boilerplate(spark):
+    """200,000 lines, most of them removed, in time that grows with the lines."""
+    lines = [f"line number {i} of a long imprint" for i in range(100)]
+    rows = [(i, "\n".join(lines), f"s{i}") for i in range(6)] + [(10, "\n".join(lines * 2000 + ["the end"]), "s1")]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[10].text == "the end" and got[10].n_removed == 200_000 and got[0].n_removed == 0
