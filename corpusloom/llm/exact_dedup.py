@@ -2,9 +2,9 @@
 
 A text is normalised by deleting white space and cut at content-defined points: after a
 sentence end once ``min_chunk`` characters have gone by, and at ``max_chunk`` in any case.  An
-insertion therefore only disturbs the chunks around it.  Each chunk content is moved at most once,
-into a map-side combined aggregation by chunk hash that *verifies* the hash as an identifier: all
-contents under it must be identical.  From then on a document is its ordered list of identifiers, its
+insertion therefore only disturbs the chunks around it.  Each distinct chunk content is moved once,
+into a map-side combined aggregation that *verifies* its hash as an identifier: no hash may have two
+contents.  From then on a document is its ordered list of identifiers, its
 recipe, and only recipes are compared and moved.  If a hash turns out to stand for two contents,
 the whole recipe build escalates to SHA-256 identifiers, verified in the same way.
 """
@@ -40,13 +40,13 @@ def _strong(chunk: Column) -> Column:
     return F.sha2(chunk, 256)
 
 
-def chunk_dictionary(pieces: DataFrame, identify) -> DataFrame:
-    """One row per identifier with the least and greatest content under it, and its uses."""
-    return (
-        pieces.select(identify(F.col("chunk")).alias("chunk_id"), "chunk")
-        .groupBy("chunk_id")
-        .agg(F.min("chunk").alias("content"), F.max("chunk").alias("other"), F.count(F.lit(1)).alias("uses"))
-    )
+def ambiguous(pieces: DataFrame, identify) -> DataFrame:
+    """The identifiers in ``pieces`` (chunk) that stand for more than one content.
+
+    Each distinct content moves once, as the key of an aggregation that is combined before the shuffle.
+    """
+    contents = pieces.groupBy(identify(F.col("chunk")).alias("chunk_id"), "chunk").agg(F.lit(1).alias("one"))
+    return contents.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def recipes(
@@ -54,26 +54,24 @@ def recipes(
 ) -> DataFrame:
     """(doc_id, n_code_points, text_sha256, recipe) with verified chunk identifiers.
 
-    ``identifiers`` are tried in turn; the first whose every identifier has one content is used.
+    ``identifiers`` are tried in turn; the first whose every identifier has one content is used.  Texts are normalised and cut once:
+    their chunks are written with the first recipes.
     """
-    base = docs.select(
+    norm = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.char_length(text_col), F.lit(0)).alias("n_code_points"),
         normalised(F.col(text_col)).alias("norm"),
     )
-    pieces = base.select(F.explode(chunks(F.col("norm"), **sizes)).alias("chunk"))
-    for identify in identifiers:
-        mixed = chunk_dictionary(pieces, identify).where(F.col("content") != F.col("other")).limit(1)
-        if not mixed.count():
-            break
-    else:
-        raise ValueError("every identifier function gave one identifier to two contents")
-    return base.select(
-        "doc_id",
-        "n_code_points",
-        F.sha2(F.col("norm"), 256).alias("text_sha256"),
-        F.transform(chunks(F.col("norm"), **sizes), identify).alias("recipe"),
-    )
+    cut = norm.select("doc_id", "n_code_points", F.sha2(F.col("norm"), 256).alias("text_sha256"), chunks(F.col("norm"), **sizes).alias("chunks"))
+    first, *others = identifiers
+    rows = materialize(cut.withColumn("recipe", F.transform("chunks", first)), "op9-chunks")
+    pieces = rows.select(F.explode("chunks").alias("chunk"))
+    if ambiguous(pieces, first).isEmpty():
+        return rows.drop("chunks")
+    for identify in others:
+        if ambiguous(pieces, identify).isEmpty():
+            return rows.select("doc_id", "n_code_points", "text_sha256", F.transform("chunks", identify).alias("recipe"))
+    raise ValueError("every identifier function gave one identifier to two contents")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
