@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from corpusloom.sources.storage import materialize
 
 LEVELS, BITS = 7, 8  # 56 bits of hash, one byte a level
+PLACE_BITS = 16  # the last of them tell identical rows apart
 BROADCAST_ROWS = 10_000  # one plan row a source, under 200 bytes each
 MAX_PASSES = 3
 
@@ -27,10 +28,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """56 bits of MD5 of the id as text: uniform, and the same on every run."""
-    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(key), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """56 bits: 40 of MD5 of the id and the text's MD5, uniform and the same on every run, then 16 of the row's place in the input.
+
+    The place decides only between rows of one id and text, which are the same whichever is taken.
+    """
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(text, F.lit(""))))
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - PLACE_BITS)
+    return F.conv(F.substring(F.md5(key), 1, (LEVELS * BITS - PLACE_BITS) // 4), 16, 10).cast("long") * (1 << PLACE_BITS) + place
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -38,55 +43,38 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def ranked_sources(sources: DataFrame) -> DataFrame:
-    """Adds rank (from 1) by source code point, null last, without gathering all sources in a task.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds to each row, under the names in ``sums``, what these columns add up to over all rows before it.
 
-    Sources are dealt out by range; a row number within each range adds to the rows of the ranges before.
+    No task gathers all rows: they are dealt out by range, and what a range's rows sum up to is added to the running sums of
+    the ranges after it.
     """
-    dealt = materialize(
-        sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()),
-        "op10-ranges",
-    )
-    here = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
-    )
-    return (
-        dealt.withColumn("within", F.row_number().over(here))
-        .join(starts, "part")
-        .select("source", "source_size", (F.col("before") + F.col("within")).alias("rank"))
-    )
+    dealt = materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = dealt.groupBy("part").agg(*[F.sum(c).alias(f"part_{n}") for n, c in sums.items()])
+    parts = parts.select("part", *[F.coalesce(F.sum(f"part_{n}").over(before), F.lit(0)).alias(f"before_{n}") for n in sums])
+    within = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+    joined = within.join(parts, "part")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"before_{n}")).alias(n) for n in sums])
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), passes: int = MAX_PASSES) -> DataFrame:
     """(source, source_size, target): water-filling of the sum of sizes under caps of ``passes`` x size.
 
-    The level per unit of weight only rises from round to round, so its value says which sources are
-    capped; each round is one aggregation over the table of sources.
+    Sources by rising cap per weight are capped from the first on; the level per unit of weight is that of the first source which
+    stays below its cap.
     """
-    weighed = materialize(
-        ranked_sources(sources).withColumn(
-            "weight",
-            F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")),
-        ),
-        "op10-sources",
-    )
-    cap = passes * F.col("source_size")
-    total = weighed.agg(F.sum("source_size")).first()[0] or 0
-    level = -1.0
-    while True:
-        over = F.lit(level) * F.col("weight") > cap
-        capped, open_weight = weighed.agg(
-            F.coalesce(F.sum(F.when(over, cap)), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0))
-        ).first()
-        risen = (total - capped) / open_weight if open_weight else level
-        if risen <= level:
-            break
-        level = risen
-    return weighed.select(
-        "source", "source_size", F.least(cap.cast("double"), F.lit(max(level, 0.0)) * F.col("weight")).alias("target")
-    )
+    by_name = running(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "op10-ranked")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    weighed = materialize(by_name.select("source", "source_size", weight.alias("weight"), (passes * F.col("source_size")).alias("cap")), "op10-sources")
+    total, weight_sum = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    order = [(F.col("cap").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    filled = running(weighed, order, {"capped": F.col("cap"), "weight_before": F.col("weight")}, "op10-caps")
+    level = (F.lit(total) - F.col("capped")).cast("double") / (F.lit(weight_sum) - F.col("weight_before"))
+    first = filled.select("capped", level.alias("level"), "weight", "cap").where(F.col("level") * F.col("weight") <= F.col("cap"))
+    found = first.agg(F.min_by("level", F.struct("capped", -F.col("level"))).alias("level")).first()["level"]
+    return weighed.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(found or 0.0) * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
@@ -132,8 +120,8 @@ def thresholds(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(doc_id, source, size, hash) in the shared folder: the texts are read once."""
-    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("hash")]
-    return materialize(docs.select(*columns), "op10-sized")
+    columns = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")]
+    return materialize(docs.select(*columns, row_hash(F.col(id_col), F.col(text_col)).alias("hash")), "op10-sized")
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...], passes: int) -> tuple[DataFrame, int]:
@@ -166,8 +154,8 @@ def mix_sources(
     One row per input row: doc_id, size (words), source_size, target (the source's), taken (words, repeats counted),
     copies.  A source is taken in whole passes and then a part of a pass, chosen by hash, that ends within half a
     document of the target.  A null text has size 0; documents of null source form a source of their own, ranked
-    last.  Rows that repeat an id share its hash and are taken alike.  Sources without words, and empty tables,
-    have target 0.  Other columns are not read.
+    last.  Rows that repeat an id are taken by their texts, and identical rows one by one.  Sources without words, and empty
+    tables, have target 0.  Other columns are not read.
     """
     sized = _sized(docs, id_col, source_col, text_col)
     plan, n_sources = mixing_plan(sized, weights, passes)
@@ -182,10 +170,13 @@ def mix_documents(
 
     The plan is one small row a source, so the texts aren't shuffled.
     """
-    plan, n_sources = mixing_plan(_sized(docs, id_col, source_col, text_col), weights, passes)
-    # Input columns pass through a struct of their own, so that none can clash with the plan's.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("own_source"), document_hash(F.col(id_col)).alias("own_hash"))
-    joined = rows.join(_small(plan, n_sources), F.col("own_source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies(F.col("own_hash")))
+    # All columns are written with size and hash, so that a row keeps its hash; input columns pass through a struct, so that none can
+    # clash with the plan's.
+    whole = F.struct(*docs.columns).alias("row")
+    columns = [F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")]
+    rows = materialize(docs.select(whole, *columns), "op10-rows")
+    plan, n_sources = mixing_plan(rows.select("source", "size", "hash"), weights, passes)
+    joined = rows.join(_small(plan, n_sources), F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("copies", _copies(F.col("hash")))
     repeated = joined.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select("row.*")
 
@@ -193,7 +184,7 @@ def mix_documents(
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 14))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ' ' || md5(coalesce(text, ''))), 1, 10))::BIGINT AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -57,3 +57,13 @@ def test_empty_and_wordless(spark, docs):
     assert mix_sources(docs.where("false")).count() == 0 and mix_documents(docs.where("false")).count() == 0
     got = mix_sources(docs.where("source = 'none'")).first()
     assert (got.size, got.source_size, got.target, got.taken) == (0, 0, 0.0, 0) if not callable(got.size) else (got["size"], got["source_size"], got["target"], got["taken"]) == (0, 0, 0.0, 0)
+
+
+def test_repeated_and_null_ids_meet_the_target(spark):
+    """A source of rows that share an id, one of rows without any, and one of rows that are all the same."""
+    rows = [(7, "a", f"word {i} " * 5, "s") for i in range(400)] + [(None, "b", f"text {i} " * 5, "s") for i in range(400)] + [(8, "c", "the same four words", "s")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, target string")
+    got = mix_sources(df).toPandas()
+    for _, part in got.groupby("target"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 60  # 256 hash places for about 400 rows
+    assert got.groupby("target")["taken"].sum().tolist() == mix_sources(df).toPandas().groupby("target")["taken"].sum().tolist()
