@@ -30,10 +30,9 @@ DIMS = 16
 SAMPLE_ROWS = 20_000
 CELLS, MOST_CELLS = 8, 4096  # cells grow with the rows, up to what the sample can place
 CHUNK_ROWS = 65_536
-LEAF_ROWS = 512
+LEAF_ROWS = 1024
 CONFIDENCE = 0.93
 QUERY_BLOCK = 512
-PAIRS = 1 << 16  # verified at once
 MARGIN = 1e-9
 
 
@@ -105,6 +104,7 @@ class Chunk:
         with open_file(uri) as f:
             data = np.load(io.BytesIO(f.read()))
             self.ids, self.vectors, self.points, self.edges, self.low, self.high = (data[k] for k in ("ids", "vectors", "points", "edges", "low", "high"))
+        self.longest = float(np.sqrt((self.vectors**2).sum(axis=1).max()))
         self.verified = 0  # pairs whose inner product was computed
 
     @staticmethod
@@ -135,18 +135,16 @@ class Chunk:
             for leaf in np.unique(leaf_of[near]):
                 who = np.flatnonzero(near & (leaf_of == leaf))
                 lo, hi = self.edges[leaf], self.edges[leaf + 1]
-                at, row = np.nonzero(self._within(points[who], lo, hi) <= (quantile * (reach - 2 * floor))[who, None])
-                other = self.ids[lo + row] != qids[who[at]]
-                at, row = at[other], row[other] + lo
-                self.verified += len(at)
+                open_ = self._within(points[who], lo, hi) <= (quantile * (reach - 2 * floor))[who, None]
+                open_ &= self.ids[None, lo:hi] != qids[who][:, None]
+                self.verified += int(open_.sum())
+                at, row, score = self._verify(queries[who], open_, lo, hi, floor[who], k)
                 cuts = np.searchsorted(at, np.arange(len(who) + 1))
-                score = self._verify(queries, who[at], row)
                 for i, q in enumerate(who):
                     part = slice(cuts[i], cuts[i + 1])
-                    good = score[part] >= floor[q]
-                    if good.any():
-                        all_ids = np.concatenate([best[q][0], self.ids[row[part][good]]])
-                        all_scores = np.concatenate([best[q][1], score[part][good]])
+                    if part.start < part.stop:
+                        all_ids = np.concatenate([best[q][0], self.ids[row[part]]])
+                        all_scores = np.concatenate([best[q][1], score[part]])
                         top = np.lexsort((all_ids, -all_scores))[:k]
                         best[q] = (all_ids[top], all_scores[top])
                         if len(top) == k:
@@ -159,11 +157,16 @@ class Chunk:
         squares = (points**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
         return (1 - MARGIN) * (squares - 2 * points @ rows.T) - MARGIN * squares
 
-    def _verify(self, queries: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q))
-        for at in range(0, len(q), PAIRS):
-            out[at : at + PAIRS] = inner_products(self.vectors[row[at : at + PAIRS]], queries[q[at : at + PAIRS]])
-        return out
+    def _verify(self, queries: np.ndarray, open_: np.ndarray, lo: int, hi: int, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the open pairs (query, row of the leaf) those that may be among a query's k best, and their scores in the exact order of
+        addition; one matrix product tells which they are."""
+        rows = self.vectors[lo:hi]
+        rough = np.where(open_, queries @ rows.T, -np.inf)
+        take = min(k, hi - lo)
+        least = np.partition(rough, hi - lo - take, axis=1)[:, hi - lo - take]
+        slack = MARGIN * np.sqrt((queries**2).sum(axis=1)) * self.longest
+        at, row = np.nonzero(rough >= np.maximum(np.maximum(least, floor) - slack, -1e300)[:, None])
+        return at, row + lo, inner_products(rows[row], queries[at])
 
 
 def box_gap(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
