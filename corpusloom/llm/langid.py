@@ -1,7 +1,9 @@
 """Language identification by string kernels with Nyström landmarks and kernel ridge regression.
 
 The kernel is a blended spectrum of character n-gram *presence*: for n = 1, 2, 3 the number of n-grams that two
-texts share, divided by the root of the product of their own numbers, averaged over n.  Ridge
+texts share, divided by the root of the product of their own numbers, averaged over n.  N-grams are counted by their hashes'
+``SIZES`` buckets: short texts have nearly the exact kernel, while in a very long one different n-grams meet in a bucket, which
+raises its kernel with all texts alike.  Ridge
 regression, one-versus-rest, is solved in the span of landmark texts.  Since the kernel is an inner product of
 normalised presence vectors, the landmarks' weights fold into one matrix, and a batch of texts is
 scored by one product of its presence matrix with that.
@@ -140,14 +142,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of labelled texts that aren't held out.
 
-    Each language gives its documents with the lowest id hashes, ``per_language`` in expectation; what comes to the driver is
-    their presence bits, 2.6 KB a text.
+    Each language gives the documents with the lowest hashes of id and text, ``per_language`` in expectation, and of texts with the
+    same n-grams one: rows that repeat an id or a text, or have no id, neither fill nor empty the sample.  What comes to
+    the driver is their presence bits, 2.6 KB a text.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
@@ -161,7 +164,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 packed = [np.packbits(bits[i]).tobytes() for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array([langs[a + i] for i in rows], pa.string())], ["bits", "lang"])
 
-    sample = labelled.where(place < rate).select("text", "lang").mapInArrow(run, "bits binary, lang string").toPandas()
+    sample = labelled.where(place < rate).select("text", "lang").mapInArrow(run, "bits binary, lang string").distinct().toPandas()
     sample = sample.sort_values(["lang", "bits"])  # partition order doesn't matter
     if sample.empty:
         return Model([], np.zeros((WIDTH, 0), np.float32))

@@ -70,7 +70,7 @@ def forest_labels(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bytes, labels); the last three are null for texts without words."""
+    """(doc_id, text_hash, n_shingles, digest, bytes, labels); the last three are null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(HASHES)
@@ -85,15 +85,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 digests = [_digest(s) if len(s) else None for s in sets]
                 columns = [
                     ids.slice(a, b - a),
+                    batch.column(2).slice(a, b - a),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(labels) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bytes", "labels"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "bytes", "labels"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bytes binary, labels array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bytes binary, labels array<long>")
 
 
 def forest(nodes: DataFrame, tables: Scratch) -> DataFrame:
@@ -423,8 +424,8 @@ def groups_of(members: DataFrame, texts: DataFrame, words: int, num: int, den: i
 def near_dedup(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by shingle sets with den * |a & b| >= num * |a | b|.
 
-    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept (doc_id
-    is component_id).  Texts that are null, empty or without words have no shingles and are linked with nothing.
+    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept (doc_id
+    is component_id) and text_hash (xxhash64 of the text, to tell rows apart that repeat a doc_id).  Texts that are null, empty or without words have no shingles and are linked with nothing.
     Equal sets are linked.  A null doc_id takes no part in links: its component_id is null and it is kept.  Rows
     that repeat a doc_id are linked by their own texts only.  Other columns are not read; an empty table gives no row.
     """
@@ -444,7 +445,6 @@ def near_dedup(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, i
     alone = nodes.select("digest", "doc_id").join(of_digest, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     labels = tables.write(alone, "labels")
     tables.close(keep=("sketches", "labels"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return sketch.join(labels, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce(component, F.col("doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce(component, F.col("doc_id")), F.lit(True)).alias("kept")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return sketch.join(labels, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")

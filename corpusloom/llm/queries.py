@@ -26,7 +26,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ def _record_id(*parts: object) -> str:
 
 
 def _clean(value: str) -> str:
-    """A header value on one line; a lossless copy of the URL is in the metadata record's page fields."""
+    """A header value on one line; where that changes a URL, the metadata record has the URL itself as a JSON string."""
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
 
 
@@ -62,6 +63,8 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, sha1:
         capture |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _record_id("capture", *keeper, digest), "WARC-Refers-To-Target-URI": keeper[1]}
     capture |= {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     fields = {"copies": str(copies)} | ({} if page_id is None else {"pageId": str(page_id)})
+    if url is not None and _clean(url) != url:
+        fields["url-json"] = json.dumps(url)
     request = {"WARC-Type": "request", "WARC-Record-ID": _record_id("request", own), **common, "WARC-Concurrent-To": own}
     meta = {"WARC-Type": "metadata", "WARC-Record-ID": _record_id("metadata", own), **common, "WARC-Concurrent-To": own}
     return [
@@ -215,8 +218,8 @@ def write_captures(
 def transactions(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, with_payload: bool = True, **columns: str) -> DataFrame:
     """Write pages as WARC captures, read the archives back and return one nested row per input row.
 
-    Columns: page_id, payload_bytes, payload_digest (bare base32 SHA-1), record_type, refers_to (page id of the response that a
-    revisit refers to), capture_id, response, request, metadata.  A null html is an empty payload.  Null page ids count
+    Columns: page_id, url, payload_bytes, payload_digest (bare base32 SHA-1), record_type, refers_to (page id of the response that a
+    revisit refers to), capture_id, response, request, metadata.  The url is the page's own, line ends included.  A null html is an empty payload.  Null page ids count
     as the largest; a null url leaves the target out.  Repeated rows come back as often as they went in.
     Other columns are not read; an empty table gives no row.
     """
@@ -229,6 +232,7 @@ def transactions(pages: DataFrame, folder: str | None = None, min_revisit_bytes:
     found = captures.join(originals, F.col("response.refers_to") == F.col("original"), "left")
     rows = found.select(
         page.alias("page_id"),
+        F.coalesce(F.get(F.from_json(F.concat(F.lit("["), F.expr("metadata.fields['url-json']"), F.lit("]")), "array<string>"), 0), F.col("response.target_uri")).alias("url"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),

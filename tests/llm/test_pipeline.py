@@ -5,6 +5,7 @@ import random
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm.near_dedup import near_dedup
@@ -59,3 +60,21 @@ def test_run(spark, corpus):
     reference = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     untouched = [r for r in out if 40 <= r.doc_id < 300 and r.doc_id != 100]
     assert untouched and all(r.pieces == reference.encode(rows[r.doc_id][1]) for r in untouched)
+
+
+def test_odd_rows_and_empty_tables(spark):
+    """Nulls in every column, repeated ids and rows, clashing extra columns, and no rows at all, stage by stage."""
+    good = "the and with from that house street water there come some time year"
+    rows = [(1, good, "en", "a", 60), (1, good, "en", "a", 60), (1, f"{good} {good} other words here", "en", None, None), (None, f"some {good}", None, "b", 1), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "1 2", "en", "a", 3)]
+    rows += [(10 + i, f"{good} number {i} " * 9, "en", f"s{i % 3}", 5) for i in range(9)]
+    extra = "n_lines int, kept int, score int, pieces int, text_hash int, copies int, source_size int, row int"
+    df = spark.createDataFrame([(*r, *[0] * 8) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for table in (df, df.where("false")):
+        sizes = []
+        for name, stage in corpus_pipeline.STAGES:
+            table = stage(spark, table, "").cache()
+            sizes.append(table.count())
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert table.columns == list(corpus_pipeline.COLUMNS)
+                table = table.select("*", *[F.lit(0).alias(x.split()[0]) for x in extra.split(", ")])
+        assert sizes[0] == sizes[1] == (13 if sizes[0] else 0) and (sizes[4] > 0) == (sizes[0] > 0)

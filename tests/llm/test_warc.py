@@ -8,7 +8,7 @@ from corpusloom.llm.warc import read_records, transactions, write_captures
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, None, "<p>é\r\n\r\nHTTP/1.1</p>"), (4, "http://b/\n4%", None), (5, "http://b/5", ""), (0, "http://c/", "x" * 300000), (None, "u", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (None, None, "only")]
+    rows = [(1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, None, "<p>é\r\n\r\nHTTP/1.1</p>"), (4, "http://b/\n4%\"\r\n x", None), (5, "http://b/5", ""), (0, "http://c/", "x" * 300000), (None, "u", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (None, None, "only")]
     return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record_type string").cache()
 
 
@@ -27,6 +27,7 @@ def test_round_trip(spark, pages):
     empty = base64.b32encode(hashlib.sha1(b"").digest()).decode()
     assert by[4, empty].record_type == "response" and by[5, empty].refers_to == 4
     assert sum(r.page_id == 2 for r in got) == 2
+    assert {(r.page_id, r.url) for r in got} == {(r.page_id, r.url) for r in pages.collect()}
 
 
 def test_minimum_and_empty(spark, pages):
