@@ -16,7 +16,7 @@ from corpusloom.sources.storage import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SURE = 0.9  # score from which a prediction overrules the declared language
-BROADCAST_IDS = 2_000_000  # 8 bytes each
+BROADCAST_IDS = 2_000_000  # 16 bytes each
 
 
 def _model_path() -> str:
@@ -26,7 +26,11 @@ def _model_path() -> str:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts that have no letter and texts that are surely in another language than declared."""
+    """Without texts that have no letter and texts that are surely in another language than declared.
+
+    Null and empty texts go, a null lang is no declaration, null and repeated ids change nothing.
+    Extra columns are dropped; an empty table stays one.
+    """
     ship_package(spark)
     found = identify(docs, keep=COLUMNS[1:])
     other = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE), F.lit(False))
@@ -34,30 +38,46 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without boilerplate lines that stand elsewhere before; a document that is nothing else goes."""
-    rows = line_dedup(docs)
+    """Without boilerplate lines that stand elsewhere before; a document that is nothing else goes.
+
+    Null texts and sources stay as they are; rows that repeat id and text are treated alike.  ``n_chars`` follows the text.
+    Extra columns are dropped; an empty table stays one.
+    """
+    rows = line_dedup(docs.select(*COLUMNS))
     empty = (F.col("n_removed") > 0) & (F.length(F.trim("text")) == 0)
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.where(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", length).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without words and rows of null id stay.  Rows that repeat an id are told apart by their texts; rows that repeat both go
+    or stay together.  Extra columns are dropped; an empty table stays one.
+    """
     ship_package(spark)
-    dropped = near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")).select("doc_id")
-    dropped = materialize(dropped, "near-dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    gone = near_dedup(docs, words=5, num=80, den=100).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    gone = materialize(gone.distinct(), "near-dropped")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.select(*COLUMNS).join(gone, same, "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask."""
-    return mix_documents(docs).select(*COLUMNS)
+    """Documents as often as the target weights of their sources ask.
+
+    A null source is a source, a null text has no size and is taken as its source's hash threshold says, null and
+    repeated ids are taken one by one.  Extra columns are dropped; an empty table stays one.
+    """
+    return mix_documents(docs.select(*COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as SentencePiece ids, each checked by decoding."""
+    """The documents as SentencePiece ids, each checked by decoding.
+
+    Null and empty texts have no ids; nothing else is read.  Extra columns are dropped; an empty table stays one.
+    """
     ship_package(spark)
     return encode_documents(docs.select(*COLUMNS), _model_path())
 
