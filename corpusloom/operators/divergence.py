@@ -112,6 +112,9 @@ def paper_patterns(mentions: DataFrame) -> DataFrame:
     return sets.groupBy("year", "field", "families").agg(F.count(F.lit(1)).alias("n"))
 
 
+REPLICATES_A_TASK = 250
+
+
 def _matrix(frame: pd.DataFrame, families: list[str]) -> np.ndarray:
     place = {f: i for i, f in enumerate(families)}
     out = np.zeros((len(frame), len(families)))
@@ -126,26 +129,37 @@ def _sides(frame: pd.DataFrame, fields: tuple[str, str]) -> tuple[pd.DataFrame,
     return frame[frame["field"] == fields[0]], frame[frame["field"] == fields[1]], families
 
 
-def bootstrap(mentions: DataFrame, fields: tuple[str, str], replicates: int = 2000, seed: int = 20250801, chunk: int = 100) -> DataFrame:
+def _in_blocks(patterns: DataFrame, replicates: int, run) -> DataFrame:
+    """(year, b, jsd): ``run(year, frame, generator of the block, numbers of its replicates)`` for each year and block of replicates.
+
+    Each block has its own generator, made from the year and the block's number, so results don't depend on partitioning, and
+    tasks are as many as years times blocks.
+    """
+    starts = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(REPLICATES_A_TASK)))
+
+    def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        year, at = int(key[0]), int(key[1])
+        numbers = np.arange(at, min(at + REPLICATES_A_TASK, replicates))
+        return pd.DataFrame({"year": year, "b": numbers, "jsd": run(frame, [year, at], len(numbers))})
+
+    dealt = patterns.withColumn("at", starts).groupBy("year", "at")
+    return _null_nan(dealt.applyInPandas(task, "year int, b int, jsd double"))
+
+
+def bootstrap(mentions: DataFrame, fields: tuple[str, str], replicates: int = 2000, seed: int = 20250801) -> DataFrame:
     """(year, b, jsd): papers drawn with replacement within each field and year.
 
-    A draw of papers is a multinomial draw of pattern counts.  Each year has its own generator, made from the seed and the
-    year, so results don't depend on partitioning.
+    A draw of papers is a multinomial draw of pattern counts.
     """
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0])])
+    def run(frame: pd.DataFrame, place: list[int], size: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, *place])
         left, right, families = _sides(frame, fields)
         sides = [(_matrix(s, families), s["n"].to_numpy()) for s in (left, right)]
-        values = []
-        for at in range(0, replicates, chunk):
-            size = min(chunk, replicates - at)
-            drawn = [rng.multinomial(n.sum(), n / n.sum(), size) @ m if len(n) else np.zeros((size, len(families))) for m, n in sides]
-            values.append(_distance(*drawn))
-        return pd.DataFrame({"year": key[0], "b": np.arange(replicates), "jsd": np.concatenate(values)})
+        drawn = [rng.multinomial(n.sum(), n / n.sum(), size) @ m if len(n) else np.zeros((size, len(families))) for m, n in sides]
+        return _distance(*drawn)
 
-    patterns = paper_patterns(mentions.where(F.col("field").isin(*fields)))
-    return _null_nan(patterns.groupBy("year").applyInPandas(run, "year int, b int, jsd double"))
+    return _in_blocks(paper_patterns(mentions.where(F.col("field").isin(*fields))), replicates, run)
 
 
 def rarefied(mentions: DataFrame, fields: tuple[str, str], draws: int = 1000, seed: int = 20250801, permute: bool = False) -> DataFrame:
@@ -159,20 +173,18 @@ def rarefied(mentions: DataFrame, fields: tuple[str, str], draws: int = 1000, se
     least = sizes.select(F.min(F.least(*[F.coalesce(F.col(f"`{f}`"), F.lit(0)) for f in fields])).alias("m")).where("m is not null").first()
     support = int(least["m"]) if least else 0
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0]), int(permute)])
+    def run(frame: pd.DataFrame, place: list[int], size: int) -> np.ndarray:
+        rng = np.random.default_rng([seed, *place, int(permute)])
         left, right, families = _sides(frame, fields)
         m = np.vstack([_matrix(left, families), _matrix(right, families)])
         n = np.concatenate([left["n"].to_numpy(), right["n"].to_numpy()]).astype(np.int64)
-        values = []
-        for _ in range(draws):
-            first = rng.multivariate_hypergeometric(n, left["n"].sum()) if permute else np.where(np.arange(len(n)) < len(left), n, 0)
-            a = rng.multivariate_hypergeometric(first, support, method="marginals")
-            b = rng.multivariate_hypergeometric(n - first, support, method="marginals")
-            values.append(float(_distance((a @ m)[None], (b @ m)[None])[0]))
-        return pd.DataFrame({"year": key[0], "b": np.arange(draws), "jsd": values})
-
-    return _null_nan(patterns.groupBy("year").applyInPandas(run, "year int, b int, jsd double"))
+        n_left = int(left["n"].sum())
+        first = rng.multivariate_hypergeometric(n, n_left, size) if permute else np.tile(np.where(np.arange(len(n)) < len(left), n, 0), (size, 1))
+        a = np.array([rng.multivariate_hypergeometric(x, support, method="marginals") for x in first])
+        b = np.array([rng.multivariate_hypergeometric(n - x, support, method="marginals") for x in first])
+        return _distance(a @ m, b @ m)
+
+    return _in_blocks(patterns, draws, run)
 
 
 def _null_nan(df: DataFrame) -> DataFrame:

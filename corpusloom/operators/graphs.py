@@ -81,25 +81,24 @@ def betweenness_between(graph: Adjacency, sources: list[str], targets: list[str]
 
 
 def efficiency(graph: Adjacency, sources: list[str], targets: list[str], without: str | None = None) -> tuple[float, float]:
-    """(mean inverse distance over all source-target pairs, share of pairs with a path); pairs without one count 0."""
-    s, t = sorted(set(sources) - {without}), sorted(set(targets) - {without})
-    total, reached, n = 0.0, 0, 0
-    for a in s:
-        distance = shortest(graph, a, without)[1] if a in graph else {}
-        for b in t:
-            if a == b:
-                continue
-            n += 1
-            if distance.get(b):
-                reached += 1
-                total += 1 / distance[b]
-    return (total / n, reached / n) if n else (0.0, 0.0)
+    """(mean inverse distance over all source-target pairs, share of pairs with a path), of the ends that are in the graph.
+
+    Pairs without a path, and a node with itself, count 0.  Without a pair the first is NaN and the second 0.
+    """
+    s, t = (sorted(x for x in set(ends) if x in graph and x != without) for ends in (sources, targets))
+    lengths = [shortest(graph, a, without)[1] for a in s]
+    found = [distance[b] for distance in lengths for b in t if distance.get(b)]
+    pairs = len(s) * len(t)
+    return (sum(1 / d for d in found) / pairs, len(found) / pairs) if pairs else (float("nan"), 0.0)
 
 
-def removal_loss(graph: Adjacency, sources: list[str], targets: list[str], node: str) -> float:
-    """The relative loss of efficiency without a node, at least 0."""
-    full = efficiency(graph, sources, targets)[0]
-    return max(0.0, (full - efficiency(graph, sources, targets, node)[0]) / full) if full > 0 else 0.0
+def removal_loss(graph: Adjacency, sources: list[str], targets: list[str], node: str, full: float | None = None) -> float:
+    """The relative loss of efficiency without a node, at least 0; NaN where there is none to lose.  ``full`` is the graph's own."""
+    full = efficiency(graph, sources, targets)[0] if full is None else full
+    if not full > 0:
+        return float("nan")
+    left = efficiency(graph, sources, targets, node)[0]
+    return 0.0 if left > full else (full - left) / full
 
 
 def core_numbers(graph: Adjacency) -> dict[str, int]:
@@ -164,23 +163,33 @@ def per_graph(edges: DataFrame, by: list[str], distance: str, measure: Callable[
     return edges.groupBy(*by).applyInPandas(run, f"{kinds}node string, {name} double")
 
 
-def removal_effects(edges: DataFrame, by: list[str], distance: str, sources: list[str], targets: list[str]) -> DataFrame:
-    """(by, node, loss) for every node that isn't an anchor: the work is dealt out by graph and removed node.
+NODES_A_TASK = 16
+
+
+def removal_effects(edges: DataFrame, by: list[str], distance: str, sources: list[str], targets: list[str], only: DataFrame | None = None) -> DataFrame:
+    """(by, node, loss) for every node that isn't an anchor, or of those the ones in ``only`` (by, node), such as the top bridges.
 
-    Each task gets a whole graph, which is small, and one node to take out of it.
+    The work is dealt out by graph and ``NODES_A_TASK`` removed nodes; each such row gets a whole graph, which is small, and finds
+    its efficiency once.
     """
     listed = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("source", "target", distance))).alias("edges"))
     ends = F.array_distinct(F.concat(F.transform("edges", lambda e: e["source"]), F.transform("edges", lambda e: e["target"])))
-    fixed = F.array(*map(F.lit, [*sources, *targets]))
-    todo = listed.select(*by, "edges", F.explode(F.array_except(ends, fixed)).alias("node")).repartition("node", *by)
+    if only is not None:
+        listed = listed.join(only.groupBy(*by).agg(F.collect_set("node").alias("only")), by)
+        ends = F.array_intersect(ends, "only")
+    fixed = F.array(*map(F.lit, [*sources, *targets])).cast("array<string>")
+    todo = listed.select(*by, "edges", F.array_sort(F.array_except(ends, fixed)).alias("all")).where(F.size("all") > 0)
+    starts = F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(NODES_A_TASK)))
+    todo = todo.withColumn("at", starts).select(*by, "edges", F.slice("all", F.col("at"), F.lit(NODES_A_TASK)).alias("nodes"), "at").repartition("at", *by)
 
     def run(batches):
         for frame in batches:
-            loss = []
-            for graph, node in zip(frame["edges"], frame["node"]):
-                rows = [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in graph]
-                loss.append(removal_loss(adjacency(rows), sources, targets, node))
-            yield frame[[*by, "node"]].assign(loss=loss)
+            out = []
+            for row in frame.to_dict("records"):
+                graph = adjacency([tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in row["edges"]])
+                full = efficiency(graph, sources, targets)[0]
+                out += [[*(row[c] for c in by), x, removal_loss(graph, sources, targets, x, full)] for x in row["nodes"]]
+            yield pd.DataFrame(out, columns=[*by, "node", "loss"])
 
     kinds = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in by)
     return todo.mapInPandas(run, f"{kinds}node string, loss double")

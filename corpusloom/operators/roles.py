@@ -119,7 +119,7 @@ def brokerage(edges: DataFrame, anchors: DataFrame, by: list[str], distance: str
         low, high = (sorted(ends.loc[ends["side"] == s, "node"]) for s in ("low", "high"))
         between = graphs.betweenness_between(g, low, high)[0]
         whole = graphs.efficiency(g, low, high)[0]
-        rows = [[*key, x, between[x], whole, graphs.removal_loss(g, low, high, x)] for x in sorted(g) if x not in {*low, *high}]
+        rows = [[*key, x, between[x], whole, graphs.removal_loss(g, low, high, x, whole)] for x in sorted(g) if x not in {*low, *high}]
         return pd.DataFrame(rows, columns=[*by, "node", "betweenness", "efficiency", "loss"])
 
     kinds = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in by)

@@ -77,3 +77,29 @@ def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     filled = lambda c: F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
     one = df.agg(F.count(F.lit(1)).alias("n_rows"), *[filled(c).alias(c) for c in columns])
     return one.unpivot("n_rows", columns, "column", "n_filled").select("column", "n_rows", "n_filled")
+
+
+# The distribution function of a Poisson count of mean 1 at 0, 1, 2, ..; beyond the last, less than one draw in a million.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887)
+
+
+def poisson_draw(seed: int, *columns: str) -> Column:
+    """How often a row is drawn: a Poisson count of mean 1 from the MD5 of the columns, the same on every run and in SQL."""
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    uniform = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return sum((F.when(uniform >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
+def bootstrap_scores(df: DataFrame, key: str, gold: Column, predicted: Column, by: list[str], replicates: int = 1000, seed: int = 20250801) -> DataFrame:
+    """Intervals of precision, recall and F1 of a yes/no label over redraws of the annotated rows: (by, metric, low, high, n_defined).
+
+    Rows are drawn by Poisson counts, which needs no gathering: a replicate is one more grouping column.  Annotated samples have
+    hundreds or thousands of rows.  Replicates in which a score has no denominator are left out of its interval.
+    """
+    drawn = df.select(*by, key, gold.alias("g"), predicted.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("w", poisson_draw(seed, key, "b")).where("w > 0")
+    n = lambda c, name: F.sum(F.when(c, F.col("w")).otherwise(0)).alias(name)
+    counts = drawn.groupBy(*by, "b").agg(n(F.col("g") & F.col("p"), "tp"), n(~F.col("g") & F.col("p"), "fp"), n(F.col("g") & ~F.col("p"), "fn"))
+    long = with_scores(counts).unpivot([*by, "b"], ["precision", "recall", "f1"], "metric", "value").where("value is not null")
+    q = lambda p: F.percentile("value", F.lit(p))
+    return long.groupBy(*by, "metric").agg(q(0.025).alias("low"), q(0.975).alias("high"), F.count(F.lit(1)).alias("n_defined"))

@@ -83,12 +83,20 @@ def cube_counts(df: DataFrame, by: list[str], aggregates: list[Column]) -> DataF
     )
 
 
+MAX_KEYS = 10_000
+
+
 def dense_grid(df: DataFrame, rows: list[str], columns: list[str], values: list[str]) -> DataFrame:
     """Every pair of an occurring row key and an occurring column key; values that aren't there are 0.
 
-    The column keys (such as years and fields) are collected into one array a row, since they are few by nature.
+    Up to ``MAX_KEYS`` column keys (such as years and fields), which are few by nature, go as one array to each row; beyond that the row keys
+    are dealt out for a plain cross join, since every pair is the result.
     """
-    keys = df.select(F.struct(*columns).alias("c")).distinct().agg(F.collect_set("c").alias("all"))
-    grid = df.select(*rows).distinct().crossJoin(F.broadcast(keys)).withColumn("c", F.explode("all")).select(*rows, "c.*")
+    columns_ = df.select(*columns).distinct()
+    if columns_.limit(MAX_KEYS + 1).count() <= MAX_KEYS:
+        keys = columns_.agg(F.collect_set(F.struct(*columns)).alias("all"))
+        grid = df.select(*rows).distinct().crossJoin(F.broadcast(keys)).withColumn("c", F.explode("all")).select(*rows, "c.*")
+    else:
+        grid = df.select(*rows).distinct().crossJoin(columns_)
     joined = grid.join(df, [*rows, *columns], "left")
     return joined.select(*rows, *columns, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])

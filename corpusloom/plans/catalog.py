@@ -385,9 +385,9 @@ def heatmap_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cells.join(order, "family").select("family", "year", cell.alias("cell"), "mean_ratio", "median_ratio"), "cell", "mean_ratio", "median_ratio")
 
 
-@query("unpivot_metrics", """SELECT l_orderkey, l_linenumber, l_partkey, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_quantity > 45) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME metric VALUE value)""")
+@query("unpivot_metrics", """SELECT l_orderkey, l_linenumber, l_partkey, metric, round(value, 6) AS value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME metric VALUE value)""")
 def unpivot_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_quantity > 45")
+    rows = table(spark, d, "lineitem")
     ids, values = ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     return rounded(rows.unpivot(ids, values, "metric", "value"), "value", digits=6)
 
@@ -441,12 +441,13 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return a.intersect(r).select(F.lit("both").alias("part"), "id").unionByName(a.subtract(r).select(F.lit("only_a").alias("part"), "id"))
 
 
-@query("zero_match_inventory", """WITH a AS (SELECT DISTINCT p_brand AS alias FROM part), o AS (SELECT l_orderkey AS doc, p_brand AS alias FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49.5 AND l_tax > 0.07)
+@query("zero_match_inventory", """WITH a AS (SELECT DISTINCT p_brand AS alias FROM part UNION SELECT 'Brand#' || i FROM range(90, 99) r(i)), o AS (SELECT l_orderkey AS doc, p_brand AS alias FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT a.alias, count(o.doc) AS n_matches, count(DISTINCT o.doc) AS n_docs FROM a LEFT JOIN o ON o.alias = a.alias GROUP BY a.alias""")
 def zero_match_inventory(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("alias"))
-    rows = table(spark, d, "lineitem").where("l_quantity > 49.5 and l_tax > 0.07").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("p_partkey"))
-    return edges.inventory(part.select("alias").distinct(), rows.join(part, "p_partkey"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("p_partkey"))
+    known = part.select("alias").union(spark.range(90, 99).select(F.concat(F.lit("Brand#"), F.col("id")))).distinct()
+    return edges.inventory(known, rows.join(part, "p_partkey"))
 
 
 @query("quality_flags", f"""WITH {MENTIONS}, n AS (SELECT count(DISTINCT key) AS n FROM mentions), o AS (SELECT key AS doc, family AS item, lower(right(family, 1)) AS matched FROM mentions)
@@ -643,12 +644,16 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(rows, ["field", "year"], sampling.hash_order("key", "seed"), 10).select("field", "year", "key", "place")
 
 
-@query("design_hash", f"""WITH {PAPERS}, r AS (SELECT year, key, sha256(concat_ws('|', key::VARCHAR, field, doctype)) AS h FROM papers)
+@query("design_hash", f"""WITH {PAPERS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field, year ORDER BY md5(concat_ws(chr(31), coalesce(key::VARCHAR, ''), '7'))) AS place FROM papers) WHERE place <= 10),
+r AS (SELECT year, key, sha256(concat_ws('|', key::VARCHAR, field, doctype)) AS h FROM s)
 SELECT year, sha256(string_agg(h, '' ORDER BY key)) AS design FROM r GROUP BY year""")
 def design_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of a sampling design: the rows of the sample, at most ten a field and year."""
+    rows = papers(spark, d).withColumn("seed", F.lit("7"))
+    drawn = sampling.stratified(rows, ["field", "year"], sampling.hash_order("key", "seed"), 10)
     row = F.sha2(F.concat_ws("|", F.col("key").cast("string"), "field", "doctype"), 256)
     ordered = F.array_sort(F.collect_list(F.struct("key", row.alias("h"))))
-    return papers(spark, d).groupBy("year").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("design"))
+    return drawn.groupBy("year").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("design"))
 
 
 @query("html_strip", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
@@ -656,9 +661,9 @@ def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", M.strip_tags(F.col("html")).alias("text"))
 
 
-@query("slugs", r"""SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 40)), 'ν', 'nu'), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM documents WHERE text IS NOT NULL)""")
+@query("slugs", r"""SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ν', 'nu'), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM documents WHERE text IS NOT NULL)""")
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", M.slug(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", M.slug(F.col("text")).alias("slug"))
 
 
 @query("url_parts", r"""SELECT page_id, nullif(regexp_extract(url, '://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages""")

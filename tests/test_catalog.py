@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from corpusloom.plans import catalog, models  # noqa: F401
+from corpusloom.plans import catalog, models, networks  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

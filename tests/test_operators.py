@@ -86,10 +86,15 @@ def test_set_scores(spark):
 
 
 def test_sentences_keep_decimals_and_abbreviations():
-    text = "We find 0.5 here, cf. Fig. 2 of it. Another one, e.g. this!  "
+    text = "We find 0.5 here, e.g. Fig. 2 of it. Another one, e.g. this!  "
     got = T.sentences(text)
     assert len(got) == 2 and all(text[a:b] == s for a, b, s in got)
     assert T.sentences(None) == T.sentences("  ") == []
+    parts = lambda t: [s for *_, s in T.sentences(t)]
+    assert parts("Dr. Smith saw it.  Prof. Lee\ndid not!? See ref. 3") == ["Dr. Smith saw it.", "Prof. Lee\ndid not!?", "See ref.", "3"]
+    assert parts("Cf. this, et al. and that vs. ours. ") == ["Cf.", "this, et al. and that vs. ours."]
+    text = " A b.  C d. "
+    assert [(text[a:b], s) for a, b, s in T.sentences(text)] == [("A b.", "A b."), ("C d.", "C d.")]
 
 
 def test_tagger_first_match_decides():
@@ -201,6 +206,10 @@ def test_efficiency_and_removal():
     assert graphs.efficiency(g, ["a1", "a2"], ["h1", "h2"])[0] == pytest.approx(want)
     assert graphs.efficiency(g, ["a2", "a1"], ["h2", "h1"])[0] == pytest.approx(want)
     assert graphs.removal_loss(g, ["a1", "a2"], ["h1", "h2"], "m") == pytest.approx(1)
+    # Ends that aren't in the graph don't count, a node with itself does, and no pair at all is no number.
+    assert graphs.efficiency(g, ["a1", "absent"], ["h1"]) == (pytest.approx(1 / 0.4), 1.0)
+    assert graphs.efficiency(g, ["a1", "m"], ["m"]) == (pytest.approx(1 / 0.1 / 2), 0.5)
+    assert np.isnan(graphs.efficiency(g, ["absent"], ["h1"])[0]) and np.isnan(graphs.removal_loss(g, ["absent"], ["h1"], "m"))
 
 
 def test_cores_and_spectra():
@@ -217,6 +226,8 @@ def test_removal_effects_match_the_single_graph(spark):
     g = graphs.adjacency([e[1:] for e in es])
     got = {r.node: r.loss for r in graphs.removal_effects(df, ["win"], "distance", ["a"], ["h"]).collect()}
     assert got == {n: pytest.approx(graphs.removal_loss(g, ["a"], ["h"], n)) for n in ("m", "n")}
+    only = spark.createDataFrame([("w", "n"), ("w", "a")], "win string, node string")
+    assert [r.node for r in graphs.removal_effects(df, ["win"], "distance", ["a"], ["h"], only).collect()] == ["n"]
 
 
 def test_loess_recovers_a_line():
