@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,20 @@ import pyarrow as pa
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches in pieces, so that the Python objects made of one stay few."""
+    """Batches in pieces, so that the Python objects made of one stay few; at the end, freed memory goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give memory that this process no longer uses back to the system: workers live on while other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -32,6 +43,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
             held = []
         held.append(batch.slice(cut))
     yield from _joined(held)
+    held.clear()
+    release_memory()
 
 
 def _joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

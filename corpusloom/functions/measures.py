@@ -5,8 +5,10 @@ Where a quotient has no value (a zero denominator) the result is null, never an
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,9 +124,16 @@ def slug(value: Column) -> Column:
     return F.when(trimmed == "", "unknown").otherwise(trimmed)
 
 
-def strip_tags(html: Column) -> Column:
-    """Text without tags, the five basic character references resolved, white space squeezed."""
-    text = F.regexp_replace(html, "<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, "[ \\t\\n\\x0B\\f\\r]+", " "))
+def unescaped(text: Column) -> Column:
+    """Character references of HTML, named or numbered, as characters."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return run(text)
+
+
+def strip_tags(page: Column) -> Column:
+    """Text without tags, character references resolved, white space squeezed."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(page, "<[^>]*>", "")), "[ \\t\\n\\x0B\\f\\r]+", " "))

@@ -23,12 +23,13 @@ from corpusloom.functions.measures import (
 
 
 def pairs(items: DataFrame, by: list[str]) -> DataFrame:
-    """(by, doc, source, target) with source < target, from each document's own sorted items."""
+    """(by, doc, w, source, target) with source < target, from each document's own sorted items; w is 1 over its number of pairs."""
     lists = items.groupBy(*by, "doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
     place = F.posexplode("items").alias("i", "source")
-    firsts = lists.select(*by, "doc", "items", place)
+    weight = F.try_divide(F.lit(1.0), F.size("items") * (F.size("items") - 1) / 2)
+    firsts = lists.select(*by, "doc", "items", weight.alias("w"), place)
     rest = F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))
-    return firsts.select(*by, "doc", "source", F.explode(rest).alias("target"))
+    return firsts.select(*by, "doc", "w", "source", F.explode(rest).alias("target"))
 
 
 def association_edges(items: DataFrame, by: list[str], least: int = 5) -> DataFrame:
@@ -39,8 +40,7 @@ def association_edges(items: DataFrame, by: list[str], least: int = 5) -> DataFr
     population = items.groupBy(*by).agg(F.count_distinct("doc").alias("n_docs"))
     nodes = items.groupBy(*by, "item").agg(F.count_distinct("doc").alias("n"))
     found = pairs(items, by)
-    weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*by, "doc"))
-    edges = found.withColumn("w", weight).groupBy(*by, "source", "target").agg(F.count(F.lit(1)).alias("n_xy"), F.sum("w").alias("weight"))
+    edges = found.groupBy(*by, "source", "target").agg(F.count(F.lit(1)).alias("n_xy"), F.sum("w").alias("weight"))
     edges = edges.where(F.col("n_xy") >= least)
     edges = edges.join(nodes.select(*by, F.col("item").alias("source"), F.col("n").alias("n_x")), [*by, "source"])
     edges = edges.join(nodes.select(*by, F.col("item").alias("target"), F.col("n").alias("n_y")), [*by, "target"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.measures import ratio
+from corpusloom.sources.storage import materialize
 
 TOKEN = "[a-z]{2,}"
 
@@ -37,7 +38,8 @@ def term_counts(docs: DataFrame, terms: Column, keep: list[str]) -> DataFrame:
 
 
 def gated(counts: DataFrame, n_docs: int, min_df: int, max_share: float) -> DataFrame:
-    """Only terms in at least ``min_df`` documents and at most a share of all."""
+    """Only terms in at least ``min_df`` documents and at most a share of all; the counts are written once and read twice."""
+    counts = materialize(counts, "term-counts")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counts.join(df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * n_docs)), "term")
 
@@ -55,8 +57,8 @@ def salience(weighted: DataFrame, sizes: DataFrame, group: str, k: int = 25) ->
     """
     total = sizes.agg(F.sum("n").alias("n_all"))
     inside = weighted.groupBy(group, "term").agg(F.sum("weight").alias("sum_in"))
-    overall = weighted.groupBy("term").agg(F.sum("weight").alias("sum_all"))
-    joined = inside.join(overall, "term").join(F.broadcast(sizes), group).crossJoin(F.broadcast(total))  # a row a group; one row
+    inside = inside.withColumn("sum_all", F.sum("sum_in").over(Window.partitionBy("term")))  # a row a group
+    joined = inside.join(F.broadcast(sizes), group).crossJoin(F.broadcast(total))  # a row a group; one row
     out = (F.col("sum_all") - F.col("sum_in")) / F.greatest(F.col("n_all") - F.col("n"), F.lit(1))
     scored = joined.select(group, "term", ratio(F.col("sum_in"), F.col("n")).alias("mean_in"), out.alias("mean_out"))
     scored = scored.withColumn("salience", F.col("mean_in") - F.col("mean_out")).where("salience > 0")

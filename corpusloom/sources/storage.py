@@ -78,8 +78,15 @@ class Scratch:
 _SHIPPED: set[str] = set()
 
 
+# Texts are long: batches of the default 10,000 rows would take tens of megabytes in the JVM and again in Python.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless the environment already does so."""
+    """Make this package importable in Python workers, unless the environment already does so; Arrow batches get a moderate size."""
+    for key, value in _BATCHES.items():
+        if key not in spark.sparkContext.getConf().toDebugString():
+            spark.conf.set(key, value)
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
