@@ -656,7 +656,7 @@ def design_hash(spark: SparkSession, d: str) -> DataFrame:
     return drawn.groupBy("year").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("design"))
 
 
-@query("html_strip", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
+@query("html_strip", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages""")
 def html_strip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", M.strip_tags(F.col("html")).alias("text"))
 
