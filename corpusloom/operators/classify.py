@@ -22,24 +22,22 @@ def fractional_weights(classes: DataFrame) -> DataFrame:
     return classes.withColumn("share", share).groupBy("key", "cls").agg(F.sum("share").alias("weight"))
 
 
-def yearly_shares(weighted: DataFrame, scheme: str) -> DataFrame:
-    """(scheme, year, cls, weight, share) from (key, year, cls, weight): shares of all papers of the year that have a class."""
-    papers = weighted.groupBy("year").agg(F.count_distinct("key").alias("n_papers"))
-    by = weighted.groupBy("year", "cls").agg(F.sum("weight").alias("weight"))
-    return by.join(F.broadcast(papers), "year").select(  # one row a year
-        F.lit(scheme).alias("scheme"), "year", "cls", "weight", "n_papers", ratio(F.col("weight"), F.col("n_papers")).alias("share")
-    )
-
-
 def assignment_shares(classes: DataFrame, papers: DataFrame) -> DataFrame:
-    """Shares of classes under three ways to count: primary class only, any class, and fractional."""
-    dated = papers.select("key", "year")
-    one = F.lit(1.0).alias("weight")
-    primary = per_paper(classes).select("key", F.col("primary").alias("cls"), one)
-    any_class = classes.select("key", "cls").distinct().select("key", "cls", one)
-    schemes = {"primary": primary, "any": any_class, "fractional": fractional_weights(classes)}
-    tables = [yearly_shares(t.join(dated, "key"), name) for name, t in schemes.items()]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    """(scheme, year, cls, weight, n_papers, share): classes under three ways to count, primary class only, any class, and fractional.
+
+    Shares are of all papers of the year that have a class.  The three schemes come from each paper's list of classes, in one pass.
+    """
+    per = per_paper(classes).join(papers.select("key", "year"), "key").select("key", "year", "primary", "classes")
+    entry = lambda scheme, cls, weight: F.struct(F.lit(scheme).alias("scheme"), cls.alias("cls"), weight.cast("double").alias("weight"))
+    entries = F.concat(
+        F.array(entry("primary", F.col("primary"), F.lit(1))),
+        F.transform(F.array_distinct("classes"), lambda c: entry("any", c, F.lit(1))),
+        F.transform("classes", lambda c: entry("fractional", c, 1.0 / F.size("classes"))),
+    )
+    by = per.select("year", F.explode(entries).alias("e")).groupBy("e.scheme", "year", "e.cls").agg(F.sum("e.weight").alias("weight"))
+    sizes = per.groupBy("year").agg(F.count_distinct("key").alias("n_papers"))
+    joined = by.join(F.broadcast(sizes), "year")  # one row a year
+    return joined.select("scheme", "year", "cls", "weight", "n_papers", ratio(F.col("weight"), F.col("n_papers")).alias("share"))
 
 
 def cross_listing(classes: DataFrame, papers: DataFrame, a: str, b: str) -> DataFrame:

@@ -141,6 +141,17 @@ def stratum_sizes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f, y, n, drawn[f, y]) for (f, y), n in sizes.items()], "field string, year int, n long, drawn long")
 
 
+@query("label_lists", """WITH t AS (SELECT p_brand, string_agg(' ' || p_type, ';' ORDER BY p_partkey) || '; ;' AS labels FROM part GROUP BY p_brand),
+x AS (SELECT p_brand, trim(unnest(string_split(labels, ';'))) AS label FROM t) SELECT p_brand, label, count(*) AS n FROM x WHERE label <> '' GROUP BY ALL""")
+def label_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Label lists joined by semicolons, with spaces and empty entries, and what they split into."""
+    ordered = F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.lit(" "), "p_type").alias("label"))))
+    joined = F.concat(F.array_join(F.transform(ordered, lambda x: x["label"]), ";"), F.lit("; ;"))
+    lists = table(spark, d, "part").groupBy("p_brand").agg(joined.alias("labels"))
+    rows = lists.select("p_brand", F.explode(sampling.split_labels(F.col("labels"))).alias("label"))
+    return rows.groupBy("p_brand", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sources and sinks: what is written in a format comes back from it ---
 
 
