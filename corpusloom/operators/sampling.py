@@ -47,7 +47,7 @@ def stratified(df: DataFrame, strata: list[str], order: Column, n: int | Column)
 
 def split_labels(text: Column) -> Column:
     """The labels of a text joined by semicolons, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def set_scores(df: DataFrame, gold: str, predicted: str, by: list[str]) -> DataFrame:
