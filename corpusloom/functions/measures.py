@@ -98,7 +98,7 @@ def not_among(value: Column, excluded: list[str]) -> Column:
 
 def first_nonblank(values: Column) -> Column:
     """The first element that is neither null nor blank, trimmed; null if there is none."""
-    return F.get(F.filter(F.transform(values, F.trim), lambda x: x != ""), 0)
+    return F.get(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), 0)
 
 
 def span_distance(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -255,3 +255,12 @@ def test_components_of_a_long_chain(spark, monkeypatch):
     got = connected_components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "src long, dst long")).collect()
     assert {r.component for r in got} == {1} and len(got) == 4096
     assert len(rounds) < 2 + 2 * 30
+
+
+def test_blank_values_in_lists(spark):
+    from corpusloom.functions.measures import first_nonblank
+    from corpusloom.operators.sampling import split_labels
+
+    df = spark.createDataFrame([([" ", None, " x ", "y"], " a ;; b;  ")], "values array<string>, labels string")
+    row = df.select(first_nonblank(F.col("values")).alias("first"), split_labels(F.col("labels")).alias("labels")).first()
+    assert row["first"] == "x" and row["labels"] == ["a", "b"]
