@@ -19,7 +19,7 @@ MIN_WORDS = 5  # below, a line is short
 SKETCH_BITS = 9
 DEVIATIONS = 5.0
 BROADCAST_LINES = 500_000  # 24 bytes each
-BROADCAST_POSITIONS = 2_000_000  # 4 bytes each and 32 a document
+BROADCAST_BYTES = 8 << 20  # a byte a line up to a document's last removed one, and 40 a document
 
 
 def line_key(line: Column) -> list[Column]:
@@ -58,6 +58,12 @@ def spread_lines(lines: DataFrame, min_sites: int, short_sites: int) -> DataFram
     return sketched.where(sure).select("h1", "h2", "first_doc").unionByName(exact.select("h1", "h2", "first_doc"))
 
 
+def _marks(places: Column) -> Column:
+    """For sorted places, a byte a line up to the last of them: 1 where the line goes, so that a line's fate is one look-up."""
+    step = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.lit("1"))
+    return F.array_join(F.transform(places, step), "").cast("binary")
+
+
 def line_dedup(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
@@ -88,26 +94,24 @@ def line_dedup(
         .agg(places.alias("places"))
         .withColumn("places", F.when(F.col("first"), F.slice("places", 2, 1 << 30)).otherwise(F.col("places")))
         .groupBy("doc_id", "text_hash")
-        .agg(F.flatten(F.collect_list("places")).alias("removed"))
+        .agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("removed"))
         .where(F.size("removed") > 0)
-        .select(F.col("doc_id").alias("removed_id"), F.col("text_hash").alias("removed_hash"), "removed")
+        .select(F.col("doc_id").alias("removed_id"), F.col("text_hash").alias("removed_hash"), F.size("removed").alias("n_gone"), _marks(F.col("removed")).alias("gone"))
     )
     removed = materialize(removed, "op6-removed")
-    volume = removed.agg(F.coalesce(F.sum(F.size("removed") + 8), F.lit(0))).first()[0]
-    if volume <= BROADCAST_POSITIONS:
+    volume = removed.agg(F.coalesce(F.sum(F.octet_length("gone") + 40), F.lit(0))).first()[0]
+    if volume <= BROADCAST_BYTES:
         removed = F.broadcast(removed)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     own = docs.select(*columns).withColumns({"_op6_lines": F.split(F.col(text_col), "\n", -1), "_op6_hash": F.xxhash64(text_col)})
     same = F.col(id_col).eqNullSafe(F.col("removed_id")) & (F.col("_op6_hash") == F.col("removed_hash"))
-    # Set difference by hash: linear in the lines, however many are removed.
-    places = F.array_except(F.sequence(F.lit(0), F.size("_op6_lines") - 1), F.col("removed"))
-    kept = F.transform(places, lambda i: F.get("_op6_lines", i))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter("_op6_lines", lambda _, i: F.substring("gone", i + 1, F.lit(1)) != F.lit(b"1"))
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     joined = own.join(removed, same, "left")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in columns],
         F.coalesce(F.size("_op6_lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
+        F.coalesce("n_gone", F.lit(0)).alias("n_removed"),
     )
 
 
