@@ -27,7 +27,7 @@ from corpusloom.llm.words import WordRows, by_bytes, flattened, gathered
 
 SPACE = "▁"
 THREADS = 2
-MEMORY_WORDS = 150_000  # and as many of the turn before; 200 bytes a word
+MEMORY_WORDS = 100_000  # and as many of the turn before; 200 bytes a word
 
 # Fixed values of the format: field numbers, piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
