@@ -10,9 +10,9 @@ import hashlib
 import html
 import re
 import sys
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 
@@ -147,73 +147,141 @@ def runs(node: Node) -> list[list[Node]]:
 class Matching:
     """Simple tree matching of two trees: the most node pairs that agree in symbol, order and ancestors.
 
-    Neighbours of one symbol, such as paragraphs, are one run in this; the nodes of two runs pair in order.  Lists
-    of more than ``WEIGHED`` pairs of runs are aligned by the longest common sequence of their symbols, without weighing subtrees.
+    Neighbours of one symbol, such as paragraphs, are one run in this; the nodes of two runs pair in order, and so do two lists
+    of runs with the same symbols.  Other lists are aligned by the weight of what pairs below, whatever their length.
+
+    What can pair below two nodes depends on their shapes alone: the symbols of their subtrees.  Shapes and runs of shapes are
+    numbered, so that each pair of them is weighed once for all pages that a matching is used for, and again only where
+    ``REMEMBERED`` pairs were forgotten.
     """
 
-    WEIGHED = 10_000
-    ALIGNED = 100_000_000
+    REMEMBERED = 300_000
+    HELD = 100_000_000
 
     def __init__(self):
-        self.scores: dict[tuple[int, int], int] = {}
         self.run_lists: dict[int, list[list[Node]]] = {}
+        self.shapes: dict[int, int] = {}  # by node
+        self.numbers: dict[tuple, int] = {}
+        self.made_of: list[tuple] = []  # of a shape: its symbol, size and runs; of a run: its symbol and shapes
+        self.parts = 0
+        self.scores: dict[tuple[int, int], int] = {}
 
     def _runs(self, node: Node) -> list[list[Node]]:
         if id(node) not in self.run_lists:
             self.run_lists[id(node)] = runs(node)
         return self.run_lists[id(node)]
 
+    def _number(self, made_of: tuple) -> int:
+        if made_of not in self.numbers:
+            self.numbers[made_of] = len(self.made_of)
+            self.made_of.append(made_of)
+            self.parts += len(made_of[-1])
+        return self.numbers[made_of]
+
+    def _shape(self, node: Node) -> int:
+        if id(node) not in self.shapes:
+            parts = [self._run(run) for run in self._runs(node)]
+            size = 1
+            for part in parts:
+                for shape in self.made_of[part][1]:
+                    size += self.made_of[shape][1]
+            self.shapes[id(node)] = self._number((node.symbol, size, tuple(parts)))
+        return self.shapes[id(node)]
+
+    def _run(self, run: list[Node]) -> int:
+        return self._number((run[0].symbol, tuple([self._shape(node) for node in run])))
+
+    def _next_page(self) -> None:
+        """Forget nodes, which may be gone, and shapes where they have become many."""
+        self.run_lists.clear()
+        self.shapes.clear()
+        if len(self.made_of) > self.REMEMBERED or self.parts > 10 * self.REMEMBERED:
+            self.numbers.clear()
+            self.made_of.clear()
+            self.scores.clear()
+            self.parts = 0
+
     def score(self, a: Node, b: Node) -> int:
-        if a.symbol != b.symbol:
+        self._next_page()
+        return self._score(self._shape(a), self._shape(b))
+
+    def _score(self, a: int, b: int) -> int:
+        (symbol, size, xs), (other, _, ys) = self.made_of[a], self.made_of[b]
+        if symbol != other:
             return 0
-        key = (id(a), id(b))
-        if key not in self.scores:
+        if a == b:
+            return size
+        if not xs or not ys:
+            return 1
+        key = (a, b) if a < b else (b, a)
+        total = self.scores.get(key, 0)
+        if not total:
             total = 1
-            if a.children and b.children:
-                for x, y in self.aligned(self._runs(a), self._runs(b)):
-                    for i in range(min(len(x), len(y))):
-                        total += self.score(x[i], y[i])
+            for i, j in self._places(xs, ys):
+                total += self._weigh(xs[i], ys[j])
+            if len(self.scores) >= self.REMEMBERED:
+                self.scores.clear()
             self.scores[key] = total
-        return self.scores[key]
+        return total
 
-    def _run_score(self, x: list[Node], y: list[Node]) -> int:
+    def _weigh(self, x: int, y: int) -> int:
+        """The most node pairs of two runs."""
+        (symbol, these), (other, those) = self.made_of[x], self.made_of[y]
         total = 0
-        for i in range(min(len(x), len(y))):
-            total += self.score(x[i], y[i])
+        if symbol == other:
+            for i in range(min(len(these), len(those))):
+                total += self._score(these[i], those[i])
         return total
 
+    def _weigher(self, kinds: list[int]) -> Callable[[int], np.ndarray]:
+        """``_weigh`` of a run with each of many others."""
+        shapes: dict[str, dict[int, int]] = {}  # by symbol, numbered
+        nth: dict[str, list[tuple[list[int], list[int]]]] = {}  # the same of the first, second, .. shapes: whose they are, and which
+        for k, kind in enumerate(kinds):
+            symbol, those = self.made_of[kind]
+            numbers, lists = shapes.setdefault(symbol, {}), nth.setdefault(symbol, [])
+            for i, shape in enumerate(those):
+                if i == len(lists):
+                    lists.append(([], []))
+                lists[i][0].append(k)
+                lists[i][1].append(numbers.setdefault(shape, len(numbers)))
+        at = {symbol: [(np.array(whose), np.array(which)) for whose, which in lists] for symbol, lists in nth.items()}
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def weights(x: int) -> np.ndarray:
+            nonlocal held
+            symbol, these = self.made_of[x]
+            total = np.zeros(len(kinds), np.int32)
+            if symbol not in at:
+                return total
+            for shape, (whose, which) in zip(these, at[symbol]):
+                if shape not in known:
+                    scores = np.array([self._score(shape, other) for other in shapes[symbol]], np.int32)
+                    if held > CACHED:
+                        known.clear()
+                        held = 0
+                    held += len(scores)
+                    known[shape] = scores
+                total[whose] += known[shape][which]
+            return total
+
+        return weights
+
+    def _places(self, xs: tuple[int, ...] | list[int], ys: tuple[int, ...] | list[int]) -> list[tuple[int, int]]:
+        if len(xs) == len(ys) and [self.made_of[x][0] for x in xs] == [self.made_of[y][0] for y in ys]:
+            return [(i, i) for i in range(len(xs))]
+        return common_sequence(xs, ys, self.HELD, self._weigh, self._weigher)
+
     def aligned(self, xs: list[list[Node]], ys: list[list[Node]]) -> list[tuple[list[Node], list[Node]]]:
         """Pairs of runs, in order."""
-        left = [x[0].symbol for x in xs]
-        right = [y[0].symbol for y in ys]
-        if left == right:
+        if [x[0].symbol for x in xs] == [y[0].symbol for y in ys]:
             return list(zip(xs, ys))
-        if len(xs) * len(ys) > self.WEIGHED:
-            return [(xs[i], ys[j]) for i, j in common_sequence(left, right, self.ALIGNED)]
-        table = [[0] * (len(ys) + 1)]
-        weights: dict[tuple[int, int], int] = {}
-        for i in range(len(xs)):
-            above, row = table[-1], [0]
-            for j in range(len(ys)):
-                best = max(row[j], above[j + 1])
-                if left[i] == right[j]:
-                    weights[i, j] = self._run_score(xs[i], ys[j])
-                    best = max(best, above[j] + weights[i, j])
-                row.append(best)
-            table.append(row)
-        i, j, out = len(xs), len(ys), []
-        while i and j:
-            if (i - 1, j - 1) in weights and table[i][j] == table[i - 1][j - 1] + weights[i - 1, j - 1]:
-                i, j = i - 1, j - 1
-                out.append((xs[i], ys[j]))
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
+        return [(xs[i], ys[j]) for i, j in self._places([self._run(x) for x in xs], [self._run(y) for y in ys])]
 
     def texts(self, page: Node, pivot: Node) -> list[tuple[Node, Node]]:
         """Pairs of text nodes whose ancestors are all paired."""
+        self._next_page()
         out: list[tuple[Node, Node]] = []
         todo = [(page, pivot)]
         while todo:
@@ -226,48 +294,124 @@ class Matching:
         return out
 
 
-def common_sequence(left: list[str], right: list[str], most: int) -> list[tuple[int, int]]:
-    """Places of a longest common sequence; beyond ``most`` cells, of the first partner in order for each symbol."""
-    lo = 0
-    while lo < min(len(left), len(right)) and left[lo] == right[lo]:
-        lo += 1
+# Tables up to ``SMALL`` cells take less time as lists; the places are the same.  Each level of a larger one keeps ``KEPT`` rows, a row
+# counts for ``ROW`` cells at least among those held, and up to ``CACHED`` weights are remembered.
+SMALL = 1_000
+KEPT, ROW, CACHED = 16, 1_000, 4_000_000
+
+
+def _equal(x: Hashable, y: Hashable) -> int:
+    return int(x == y)
+
+
+def _one_by_one(weigh: Callable[[Any, Any], int], kinds: list[Any]) -> Callable[[Any], np.ndarray]:
+    return lambda x: np.array([weigh(x, y) for y in kinds], np.int32)
+
+
+def common_sequence(
+    left: Sequence[Hashable], right: Sequence[Hashable], most: int, weigh: Callable[[Any, Any], int] = _equal, weigher: Callable[[list[Any]], Callable[[Any], np.ndarray]] | None = None
+) -> list[tuple[int, int]]:
+    """Places of a heaviest common sequence; without weights, of a longest one.
+
+    ``weigh`` says what a pair weighs: 0 if it can't be one, and most where both are equal; ``weigher``, given many, says the same of one
+    and each of them.  Of several heaviest sequences it is one and the same whatever ``most``, the number of table cells whose way
+    back is held at a time: rows of a larger table are computed again.  Time grows as the product of the lengths between equal ends.
+    """
     hi = 0
-    while hi < min(len(left), len(right)) - lo and left[-1 - hi] == right[-1 - hi]:
+    while hi < min(len(left), len(right)) and left[-1 - hi] == right[-1 - hi]:
         hi += 1
+    lo = 0
+    while lo < min(len(left), len(right)) - hi and left[lo] == right[lo]:
+        lo += 1
     xs, ys = left[lo : len(left) - hi], right[lo : len(right) - hi]
-    middle: list[tuple[int, int]] = []
-    if xs and ys and len(xs) * len(ys) > most:
-        at = 0
-        places: dict[str, list[int]] = {}
-        for j, y in enumerate(ys):
-            places.setdefault(y, []).append(j)
-        for i, x in enumerate(xs):
-            known = places.get(x, [])
-            k = bisect_left(known, at)
-            if k < len(known):
-                middle.append((i, known[k]))
-                at = known[k] + 1
-    elif xs and ys:
-        names = {s: k for k, s in enumerate(dict.fromkeys([*xs, *ys]))}
-        a, b = np.array([names[x] for x in xs]), np.array([names[y] for y in ys])
-        row = np.zeros(len(b) + 1, np.int32)
-        up, take = [], []
-        for x in a:
-            met = row[:-1] + (b == x)
-            new = np.maximum.accumulate(np.concatenate([[0], np.maximum(row[1:], met)]))
-            up.append(np.packbits(new[1:] == row[1:]))
-            take.append(np.packbits((b == x) & (new[1:] == met)))
-            row = new
-        i, j = len(a) - 1, len(b) - 1
-        while i >= 0 and j >= 0:
-            bit = 0x80 >> (j & 7)
-            if take[i][j >> 3] & bit:
-                middle.append((i, j))
-                i, j = i - 1, j - 1
-            elif up[i][j >> 3] & bit:
-                i -= 1
-            else:
-                j -= 1
-        middle.reverse()
+    if not xs or not ys:
+        middle = []
+    elif len(xs) * len(ys) <= min(most, SMALL):
+        middle = _small_table(xs, ys, weigh)
+    else:
+        kinds = list(dict.fromkeys(ys))
+        middle = _large_table(xs, ys, kinds, weigher(kinds) if weigher else _one_by_one(weigh, kinds), most)
     ends = [(len(left) - k, len(right) - k) for k in range(hi, 0, -1)]
     return [(i, i) for i in range(lo)] + [(i + lo, j + lo) for i, j in middle] + ends
+
+
+def _small_table(xs: Sequence[Hashable], ys: Sequence[Hashable], weigh: Callable[[Any, Any], int]) -> list[tuple[int, int]]:
+    table = [[0] * (len(ys) + 1)]
+    weights = []
+    for x in xs:
+        weights.append([weigh(x, y) for y in ys])
+        above, row = table[-1], [0]
+        for j, w in enumerate(weights[-1]):
+            row.append(max(row[j], above[j + 1], above[j] + w))
+        table.append(row)
+    i, j, out = len(xs), len(ys), []
+    while i and j:
+        w = weights[i - 1][j - 1]
+        if w and table[i][j] == table[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def _large_table(xs: Sequence[Hashable], ys: Sequence[Hashable], kinds: list[Any], weigh: Callable[[Any], np.ndarray], most: int) -> list[tuple[int, int]]:
+    """As ``_small_table``, a row at a time, with memory for ``most`` cells and ``KEPT`` rows a level; ``kinds`` are the different ``ys``."""
+    numbers = {y: k for k, y in enumerate(kinds)}
+    places = np.array([numbers[y] for y in ys])
+    known: dict[Hashable, np.ndarray] = {}
+
+    def weights(x: Hashable, width: int) -> np.ndarray:
+        if x not in known:
+            found = weigh(x)
+            if len(known) * len(kinds) > CACHED:
+                known.clear()
+            known[x] = found
+        return known[x][places[:width]]
+
+    def below(row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        met = row[:-1] + w
+        new = np.concatenate([row[:1], np.maximum(row[1:], met)])
+        return np.maximum.accumulate(new), met
+
+    out: list[tuple[int, int]] = []
+
+    def back(first: int, last: int, row: np.ndarray) -> int:
+        """Go back from the end of row ``last`` to row ``first``, which is given; the column reached."""
+        j = len(row) - 1
+        if last - first == 1 or (last - first) * max(j, ROW) <= most:
+            up, take = [], []
+            for x in xs[first:last]:
+                w = weights(x, j)
+                new, met = below(row, w)
+                up.append(np.packbits(new[1:] == row[1:]))
+                take.append(np.packbits((w > 0) & (new[1:] == met)))
+                row = new
+            i = last - first
+            while i and j:
+                at, bit = (j - 1) >> 3, 0x80 >> ((j - 1) & 7)
+                if take[i - 1][at] & bit:
+                    i, j = i - 1, j - 1
+                    out.append((first + i, j))
+                elif up[i - 1][at] & bit:
+                    i -= 1
+                else:
+                    j -= 1
+            return j
+        step = -(-(last - first) // KEPT)
+        starts = list(range(first, last, step))
+        kept = [row]
+        for i in range(first, starts[-1]):
+            row, _ = below(row, weights(xs[i], j))
+            if (i + 1 - first) % step == 0:
+                kept.append(row)
+        del row
+        while starts and j:
+            start = starts.pop()
+            j = back(start, min(start + step, last), kept.pop()[: j + 1])
+        return j
+
+    back(0, len(xs), np.zeros(len(ys) + 1, np.int32))
+    return out[::-1]

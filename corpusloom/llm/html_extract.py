@@ -80,8 +80,8 @@ def is_junk(node: Node) -> bool:
 class Template:
     """A pivot's tree with its text nodes numbered, and what is known of them: template slots, and template texts of other slots."""
 
-    def __init__(self, pivot: str, marks: list[tuple[int, int | None]] = ()):
-        self.root = parse(pivot)
+    def __init__(self, pivot: str, marks: list[tuple[int, int | None]] = (), matching: Matching | None = None):
+        self.root, self.matching = parse(pivot), matching or Matching()
         self.slots: dict[int, int] = {}
         todo = [self.root]
         while todo:
@@ -94,7 +94,7 @@ class Template:
     def filled(self, root: Node) -> list[tuple[Node, int]]:
         """A page's text nodes that align with a slot, and the slot."""
         with deep_recursion():
-            return [(node, self.slots[id(slot)]) for node, slot in Matching().texts(root, self.root)]
+            return [(node, self.slots[id(slot)]) for node, slot in self.matching.texts(root, self.root)]
 
     def template_nodes(self, root: Node) -> set[int]:
         """The ids of a page's text nodes that are template."""
@@ -234,6 +234,7 @@ class Pivots:
 
         def run(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
             known: dict[int, Template] = {}
+            matching = Matching()
 
             def template(pivot: int | None, given: dict | None) -> Template | None:
                 if pivot is None:
@@ -245,7 +246,7 @@ class Pivots:
                         found = sent.value.get(pivot) if sent is not None else None
                     if len(known) > 500:
                         known.clear()
-                    known[pivot] = Template(*found) if found else None
+                    known[pivot] = Template(*found, matching) if found else None
                 return known[pivot]
 
             for batch in in_slices(batches):

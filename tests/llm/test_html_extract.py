@@ -135,6 +135,66 @@ def test_common_sequence():
             assert not most or len(pairs) == table[-1][-1]
 
 
+def heaviest(a, b, weigh):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + weigh(x, y))
+    return table[-1][-1]
+
+
+def test_common_sequence_is_heaviest_whatever_is_held():
+    assert common_sequence("zabc", "abcz", 0) == common_sequence("zabc", "abcz", 100) == [(1, 0), (2, 1), (3, 2)]
+    rng = random.Random(5)
+    for n in [rng.randint(0, 12) for _ in range(40)] + [70] * 5:
+        a, b = ([rng.randrange(6) for _ in range(n + rng.randint(0, 3))] for _ in range(2))
+        weights = {(x, y): 9 if x == y else rng.randrange(10) for x in range(6) for y in range(6)}
+        for weigh in (lambda x, y: int(x == y), lambda x, y: weights[x, y]):
+            found = [common_sequence(a, b, most, weigh) for most in (0, 900, 3000, 20_000, 10**8)]
+            assert all(f == found[0] for f in found)
+            assert sum(weigh(a[i], b[j]) for i, j in found[0]) == heaviest(a, b, weigh) and all(weigh(a[i], b[j]) for i, j in found[0])
+
+
+def test_long_lists_are_weighed_as_short_ones_are(monkeypatch):
+    def pairs(n):
+        """Node pairs beyond those of the n elements that both pages have."""
+        same = "".join(f"<h{1 + i % 2}>t</h{1 + i % 2}>" for i in range(n))
+        a = parse(f"<div><p>one</p><ul><li>two</li></ul></div>{same}")
+        b = parse(f"<div>light</div><i>x</i><div><p>1</p><ul><li>2</li></ul></div><b>y</b>{same}<b>z</b>")
+        return Matching().score(a, b) - 2 * n, sorted((x.text, y.text) for x, y in Matching().texts(a, b) if x.text != "t")
+
+    assert pairs(10) == pairs(150) == (7, [("one", "1"), ("two", "2")])
+    monkeypatch.setattr(Matching, "HELD", 0)
+    monkeypatch.setattr(Matching, "REMEMBERED", 1)
+    assert pairs(10) == pairs(150) == (7, [("one", "1"), ("two", "2")])
+
+
+def test_a_list_beyond_the_cells_held():
+    """Over 10,000 runs on both sides; the first of the page is the last of the pivot."""
+    names = [f"<x{'abcdefghij'[i // 1000]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}>" for i in range(10_000)] + ["<y>"]
+    closed = [f"{n}t</{n[1:]}" for n in names]
+    a, b = parse("<y>t</y><z>t</z>" + "".join(closed[:-1])), parse("".join(closed))
+    assert len(a.children) * len(b.children) > 100_000_000
+    assert len(Matching().texts(a, b)) == 10_000
+
+
+def test_notices_go_from_long_pages_as_from_short_ones(spark):
+    def site(sections):
+        rows, want = [], {}
+        for i in range(12):
+            story = [(f"Title w{i}x{k}", f"Text v{i}y{k} and u{i}z{k}") for k in range(sections)]
+            lead = f"<div>Lead {i}</div><hr>" if i % 2 else ""
+            body = "".join(f"<h2>{t}</h2><p>{x}</p>" for t, x in story)
+            rows.append((i, f"http://s{sections}.org/{i}", f"<body>{lead}<div><p>Our shop closes soon</p><ul><li>Come and buy</li></ul></div>{body}<hr></body>"))
+            want[i] = "\n".join([f"Lead {i}"] * (i % 2) + [t for pair in story for t in pair])
+        return rows, want
+
+    (short, want), (long, more) = site(4), site(60)
+    rows = short + [(i + 100, *rest) for i, *rest in long]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want | {i + 100: text for i, text in more.items()}
+
+
 def test_deep_and_broken_pages():
     assert main_text("<div>" * 5000 + "x") == "x"
     assert main_text("<article><p>a</div></b><p>b</article") == "a\nb"
